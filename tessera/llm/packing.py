@@ -6,8 +6,8 @@ at document ends (free) or sentence ends (``SENTENCE_COST``); a window may also
 to the brim within a sentence (``MIDDLE_COST``). The plan with the least padding plus
 cut costs comes from f(i) = min over j of f(j) + padding(j, i) + cost(i). As padding is
 ``size`` less the length, the minimum is over f(j) + j in a sliding range, which a
-monotone queue gives in constant time: one queue for a window from j to i, a second for
-two windows with a cut within a sentence between them.
+monotone queue gives in constant time. A cut within a sentence is only worth making
+where it fills a window, so such states are added as their predecessor leaves the queue.
 
 There is no shuffle: each partition is packed as its rows stream by, a few MB of text
 at a time, and the open end of one block is the start of the next. What remains at the
@@ -124,72 +124,57 @@ def tokens(path: str) -> WordTokens:
     return _LOADED[path]
 
 
-def plan_cuts(at: list[int], cost: list[int], size: int, middle: int) -> tuple[list[int], list[int], list[bool]]:
-    """For candidates at ascending positions from 0: f(j) + j, the best predecessor, and whether a window ends between.
+def plan_cuts(at: list[int], cost: list[int], size: int, middle: int) -> tuple[list[int], list[int], list[int], deque[int]]:
+    """States of the plan: position, f + position, predecessor; and the queue of states not beaten by a later one.
 
-    Neighbouring candidates must be at most ``size`` apart.
+    ``at`` are ascending candidates from 0. Besides them a state can be ``size`` ids after
+    another one: a window filled to the brim. Only a state that leaves the queue
+    unbeaten is worth going on from in this way, so there are few.
     """
-    n = len(at)
-    value, back, between = [0] * n, [0] * n, [False] * n
-    value[0] = at[0]
-    near: deque[int] = deque()
-    far: deque[int] = deque()
-    nxt = 0
-    for i in range(1, n):
-        p, v = at[i], value[i - 1]
-        while near and value[near[-1]] >= v:
-            near.pop()
-        near.append(i - 1)
-        while at[near[0]] < p - size:
-            near.popleft()
-        while at[nxt] < p - size:
-            v = value[nxt]
-            while far and value[far[-1]] >= v:
-                far.pop()
-            far.append(nxt)
-            nxt += 1
-        while far and at[far[0]] < p - 2 * size:
-            far.popleft()
-        j = near[0]
-        best = value[j] + size
-        if far and value[far[0]] + 2 * size + middle < best:
-            j, best, between[i] = far[0], value[far[0]] + 2 * size + middle, True
-        value[i], back[i] = best + cost[i], j
-    return value, back, between
-
-
-def _candidates(ids: np.ndarray, ends: np.ndarray, tok: WordTokens, size: int) -> tuple[np.ndarray, np.ndarray]:
+    place, value, back = [at[0]], [at[0]], [0]
+    queue: deque[int] = deque([0])
+
+    def push(p: int, v: int, j: int) -> None:
+        while queue and value[queue[-1]] >= v:
+            queue.pop()
+        queue.append(len(place))
+        place.append(p)
+        value.append(v)
+        back.append(j)
+
+    for p, c in zip(at[1:], cost[1:]):
+        while place[queue[0]] < p - size:
+            j = queue.popleft()
+            push(place[j] + size, value[j] + size + middle, j)
+        j = queue[0]
+        push(p, value[j] + size + c, j)
+    return place, value, back, queue
+
+
+def _candidates(ids: np.ndarray, ends: np.ndarray, tok: WordTokens) -> tuple[np.ndarray, np.ndarray]:
     """Cut positions with costs; ``ends`` are the ends of documents in ``ids``."""
-    cost = np.full(len(ids) + 1, MIDDLE_COST, np.int64)
+    cost = np.full(len(ids) + 1, -1, np.int64)
     sentence = tok.breaks[ids]
     sentence[:-1] |= tok.stops[ids[:-1]] & tok.gaps[ids[1:]]
     cost[1:][sentence] = SENTENCE_COST
     cost[ends] = 0
-    wanted = cost < MIDDLE_COST
-    wanted[0] = wanted[-1] = True
-    at = np.flatnonzero(wanted)
-    wide = np.flatnonzero(np.diff(at) > size)
-    if len(wide):
-        at = np.unique(np.concatenate([at, *(np.arange(at[k] + size, at[k + 1], size) for k in wide)]))
+    cost[[0, -1]] = 0
+    at = np.flatnonzero(cost >= 0)
     return at, cost[at]
 
 
 def _cuts(ids: np.ndarray, ends: np.ndarray, tok: WordTokens, size: int, last: bool) -> list[int]:
     """Ascending ends of windows; what follows the last one is left for the next block."""
-    where, costs = _candidates(ids, ends, tok, size)
-    at = where.tolist()
-    value, back, between = plan_cuts(at, costs.tolist(), size, MIDDLE_COST)
-    first = int(np.searchsorted(where, at[-1] - size))
-    k = min(range(first, len(at)), key=lambda i: (value[i], -i))
-    cuts, rest = [], at[-1] - at[k]
+    at, cost = _candidates(ids, ends, tok)
+    place, value, back, queue = plan_cuts(at.tolist(), cost.tolist(), size, MIDDLE_COST)
+    k = next(j for j in queue if place[j] >= len(ids) - size)
+    cuts, p = [], place[k]
     while k:
-        cuts.append(at[k])
-        if between[k]:
-            cuts.append(at[back[k]] + size)
+        cuts.append(place[k])
         k = back[k]
-    cuts = sorted(c for c in cuts if c)
+    cuts.reverse()
     if last:  # powers of two need no padding
-        p = at[-1] - rest
+        rest = len(ids) - p
         for bit in range(rest.bit_length() - 1, -1, -1):
             if rest >> bit & 1:
                 p += 1 << bit

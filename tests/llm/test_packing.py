@@ -57,13 +57,13 @@ def test_plan_is_optimal(seed):
     rng = np.random.default_rng(seed)
     at = [0, *np.cumsum(rng.integers(1, 9, 40)).tolist()]
     cost = [0, *rng.integers(0, 4, 40).tolist()]
-    value, _, _ = plan_cuts(at, cost, 10, 3)
-    best = [0] + [10**9] * 40
-    for i in range(1, 41):
-        for j in range(i):
-            gap = at[i] - at[j]
-            if gap <= 10:
-                best[i] = min(best[i], best[j] + 10 + cost[i])
-            elif gap <= 20:
-                best[i] = min(best[i], best[j] + 20 + 3 + cost[i])
-    assert value == best
+    place, value, _, _ = plan_cuts(at, cost, 10, 3)
+    n = at[-1]
+    price = [3] * (n + 1)  # brute force over every position
+    for p, c in zip(at, cost):
+        price[p] = c
+    best = [0] + [10**9] * n
+    for i in range(1, n + 1):
+        for j in range(max(0, i - 10), i):
+            best[i] = min(best[i], best[j] + 10 - (i - j) + price[i])
+    assert min(v - p for p, v in zip(place, value) if p == n) == best[n]
