@@ -92,11 +92,11 @@ def powers(n: int, base: int = 0x9FB21C651E98DF25) -> np.ndarray:
     """base ** i modulo 2 ** 64 for i below n."""
     out = np.empty(max(n, 1), U64)
     out[0], done = 1, 1
-    step = U64(base)
+    step = base
     while done < len(out):
         k = min(done, len(out) - done)
-        out[done : done + k] = out[:k] * step
-        step = step * step
+        out[done : done + k] = out[:k] * U64(step)
+        step = step * step % 2**64
         done += k
     return out
 
