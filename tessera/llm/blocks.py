@@ -123,7 +123,7 @@ def windows(hashes: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndar
         return np.zeros(0, U64), np.zeros(len(counts) + 1, np.int64)
     weight = powers(size, 0xC2B2AE3D27D4EB4F)
     total = np.zeros(len(hashes), U64)
-    for k in range(size):
+    for k in range(min(size, len(hashes))):
         total[: len(hashes) - k] += hashes[k:] * weight[k]
     full = np.maximum(counts - size + 1, 0)
     out_counts = np.where(counts >= size, full, np.minimum(counts, 1))
