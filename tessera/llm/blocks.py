@@ -134,3 +134,30 @@ def windows(hashes: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndar
         a, b = offsets[i], offsets[i + 1]
         result[out[i]] = (hashes[a:b] * weight[: b - a]).sum() + U64(int(b - a))
     return mix(result), out
+
+
+def widened(schema, new: str):
+    """A Spark schema: the input's columns, then those of ``new``; the latter win a clash of names."""
+    from pyspark.sql.types import StructType
+
+    added = StructType.fromDDL(new)
+    names = {f.name.lower() for f in added}
+    return StructType([f for f in schema if f.name.lower() not in names] + list(added))
+
+
+def widen(part: pa.RecordBatch, names: list[str], arrays: list) -> pa.RecordBatch:
+    """The rows of ``part`` with further columns, which win a clash of names."""
+    taken = {n.lower() for n in names}
+    keep = [i for i, n in enumerate(part.schema.names) if n.lower() not in taken]
+    arrays = [a if isinstance(a, pa.Array) else pa.array(a) for a in arrays]
+    return pa.RecordBatch.from_arrays([part.column(i) for i in keep] + arrays, names=[part.schema.names[i] for i in keep] + names)
+
+
+def without_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
+    """The bytes outside of ascending, disjoint [start, end) spans."""
+    out, at = [], 0
+    for a, b in spans:
+        out.append(text[at:a])
+        at = b
+    out.append(text[at:])
+    return b"".join(out)

@@ -7,6 +7,7 @@ import importlib
 _MODULES = {
     "op6_packing": "packing",
     "op8_quality_rules": "quality_rules",
+    "op9_decontaminate": "decontaminate",
     "op10_minhash": "minhash",
 }
 
