@@ -5,6 +5,7 @@ from __future__ import annotations
 import importlib
 
 _MODULES = {
+    "op1_language": "language",
     "op5_suffix_array": "substrings",
     "op6_packing": "packing",
     "op8_quality_rules": "quality_rules",
