@@ -9,6 +9,7 @@ _MODULES = {
     "op4_quality": "quality_crf",
     "op5_suffix_array": "substrings",
     "op6_packing": "packing",
+    "op7_line_dedup": "line_dedup",
     "op8_quality_rules": "quality_rules",
     "op9_decontaminate": "decontaminate",
     "op10_minhash": "minhash",
