@@ -348,21 +348,21 @@ def _remove(docs: pa.Table, told: pa.Table, frequent) -> pa.Table:
     return pa.Table.from_batches([out])
 
 
-def _sample(docs: DataFrame) -> np.ndarray:
-    """Hashes of strings that ``FREQUENT`` of at most ``SAMPLE`` texts have."""
-    rows = docs.select("text").where(F.octet_length("text") <= SAMPLE_BYTES).orderBy(F.xxhash64("doc_id", "text")).limit(SAMPLE).collect()
-    each = []
-    for r in rows:
+def _sample(docs: DataFrame, n: int) -> np.ndarray:
+    """Hashes of strings that ``FREQUENT`` of about ``SAMPLE`` texts, of ``n`` in all, have."""
+    chosen = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int(min(1.0, SAMPLE / max(n, 1)) * (1 << 30))
+    each = [np.zeros(0, U64)]
+    for r in docs.select("text").where(chosen & (F.octet_length("text") <= SAMPLE_BYTES)).collect():
         each.append(np.unique(gram_hashes(np.frombuffer(r.text.encode(), np.uint8)) >> U64(1)))
-    hashes, counts = np.unique(np.concatenate([np.zeros(0, U64), *each]), return_counts=True)
+    hashes, counts = np.unique(np.concatenate(each), return_counts=True)
     return hashes[counts >= FREQUENT]
 
 
 def substring_dedup(docs: DataFrame) -> DataFrame:
     """``docs`` with n_bytes, n_removed, removed_spans (byte offsets in the text) and kept_bytes."""
     spark = docs.sparkSession
-    frequent = spark.sparkContext.broadcast(Frequent(_sample(docs)))
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("bigint")), F.lit(0))).first()[0]
+    size, rows = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("bigint")), F.lit(0)), F.count("*")).first()
+    frequent = spark.sparkContext.broadcast(Frequent(_sample(docs, rows)))
     n = max(1, math.ceil(size / SPLIT_BYTES))
     dealt = docs.withColumn(_SPLIT, F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int"))
     names = dealt.groupBy(_SPLIT).applyInArrow(lambda t: _names(t, frequent), "split int, name bigint, many boolean")
