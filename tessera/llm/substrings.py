@@ -309,11 +309,11 @@ def _resolve(batches):
         yield solve(pa.concat_batches(held))
 
 
-_NEW = "n_bytes bigint, n_removed bigint, removed_spans array<struct<start:bigint,end:bigint>>, kept_bytes binary"
+_NEW = "n_bytes bigint, n_removed bigint, removed_spans array<struct<start:bigint,end:bigint>>"
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def _remove(docs: pa.Table, told: pa.Table, frequent) -> pa.Table:
+def _remove(docs: pa.Table, told: pa.Table, frequent, as_text: bool) -> pa.Table:
     part, ids, nth, data, offsets = _ordered(docs)
     n = part.num_rows
     told = told.combine_chunks()
@@ -344,7 +344,9 @@ def _remove(docs: pa.Table, told: pa.Table, frequent) -> pa.Table:
     base = np.repeat(offsets[:-1], np.diff(np.searchsorted(begins, offsets)))
     lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(begins, offsets), pa.int32()), pa.StructArray.from_arrays([pa.array(begins - base), pa.array(ends - base)], ["start", "end"]))
     part = part.select([c for c in part.schema.names if c not in (_SPLIT, "__sub_id")])
-    out = widen(part, ["n_bytes", "n_removed", "removed_spans", "kept_bytes"], [n_bytes, n_removed, lists.cast(_SPANS), pa.array([kept[a:b] for a, b in zip(kept_at, kept_at[1:])], pa.binary())])
+    rest = [kept[a:b] for a, b in zip(kept_at, kept_at[1:])]
+    rest = pa.array([x.decode("utf-8", "ignore") for x in rest], pa.string()) if as_text else pa.array(rest, pa.binary())
+    out = widen(part, ["n_bytes", "n_removed", "removed_spans", "kept_text" if as_text else "kept_bytes"], [n_bytes, n_removed, lists.cast(_SPANS), rest])
     return pa.Table.from_batches([out])
 
 
@@ -358,8 +360,11 @@ def _sample(docs: DataFrame, n: int) -> np.ndarray:
     return hashes[counts >= FREQUENT]
 
 
-def substring_dedup(docs: DataFrame) -> DataFrame:
-    """``docs`` with n_bytes, n_removed, removed_spans (byte offsets in the text) and kept_bytes."""
+def substring_dedup(docs: DataFrame, as_text: bool = False) -> DataFrame:
+    """``docs`` with n_bytes, n_removed, removed_spans (byte offsets in the text) and kept_bytes.
+
+    With ``as_text``, kept_text without characters that were cut apart takes the place of kept_bytes.
+    """
     spark = docs.sparkSession
     size, rows = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("bigint")), F.lit(0)), F.count("*")).first()
     frequent = spark.sparkContext.broadcast(Frequent(_sample(docs, rows)))
@@ -369,10 +374,11 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     keys = names.repartition("name").sortWithinPartitions("name").mapInArrow(_repeated, "split int, name bigint")
     pieces = dealt.groupBy(_SPLIT).cogroup(keys.groupBy("split")).applyInArrow(lambda a, b: _pieces(a, b, frequent), "name bigint, doc bigint, at bigint, split int, piece binary")
     masks = pieces.repartition("name").sortWithinPartitions("name").mapInArrow(_resolve, "split int, doc bigint, at bigint, mask binary")
+    new = f"{_NEW}, {'kept_text string' if as_text else 'kept_bytes binary'}"
     nothing = lambda kind: F.lit(None).cast(kind)
     told = keys.select("split", "name", nothing("bigint").alias("doc"), nothing("bigint").alias("at"), nothing("binary").alias("mask"))
     told = told.unionByName(masks.select("split", nothing("bigint").alias("name"), "doc", "at", "mask"))
-    return dealt.groupBy(_SPLIT).cogroup(told.groupBy("split")).applyInArrow(lambda a, b: _remove(a, b, frequent), widened(docs.schema, _NEW))
+    return dealt.groupBy(_SPLIT).cogroup(told.groupBy("split")).applyInArrow(lambda a, b: _remove(a, b, frequent, as_text), widened(docs.schema, new))
 
 
 def op5_suffix_array(spark, sf_dir: str) -> DataFrame:
