@@ -6,6 +6,7 @@ import importlib
 
 _MODULES = {
     "op1_language": "language",
+    "op2_licenses": "licenses",
     "op3_preferences": "preferences",
     "op4_quality": "quality_crf",
     "op5_suffix_array": "substrings",
