@@ -124,7 +124,8 @@ def quality_rules(docs: DataFrame, text: str = "text") -> DataFrame:
         "n_lines": F.size(c("full")).cast("bigint"),
         "n_lines_removed": (F.size(c("full")) - c("n_good")).cast("bigint"),
         "cleaned_text": F.array_join(c("good"), "\n"),
-        "kept": ~failed & ~lost,
+        # the id, never negative, keeps the optimizer from copying all of the above into a filter on this column
+        "kept": ~failed & ~lost & (F.monotonically_increasing_id() >= 0),
     })
     return d.drop(*[x for x in d.columns if x.startswith(_P)])
 
