@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import bloom, gear, reed_solomon, structured
-from tessera.operators import agreement, catalog, history, merkle, replicas, simulate, telemetry
+from tessera.operators import agreement, catalog, faults, history, manifests, merkle, replicas, simulate, telemetry
 from tessera.session import shared_dir
 from tessera.sources import cluster as c
+from tessera.sources import objects
 from tessera.sources.cluster import sql
 from tessera.streaming import membership
 
@@ -408,3 +409,75 @@ def stream_member_state(spark, sf):
 @query()
 def sim_sweep(spark, sf):
     return simulate.sweep(spark, [10, 25, 50], 4 << 20, 64)
+
+
+@query(sql("files", "SELECT path, CASE WHEN size * 997 < 1024 THEN (size * 997) || ' B' WHEN size * 997 < 1048576 THEN printf('%.1f KB', size * 997 / 1024.0::DOUBLE) WHEN size * 997 < 1073741824 THEN printf('%.1f MB', size * 997 / 1048576.0::DOUBLE) ELSE printf('%.1f GB', size * 997 / 1073741824.0::DOUBLE) END AS shown FROM files"))
+def human_sizes(spark, sf):
+    return c.files(spark, sf).select("path", faults.human_bytes(F.col("size") * 997).alias("shown"))
+
+
+_ACTIONS = "a AS (SELECT user_id AS node, event_id AS seq, CASE event_id % 9 WHEN 0 THEN 'kill' WHEN 1 THEN 'revive' WHEN 2 THEN 'latency' WHEN 3 THEN 'throttle' WHEN 4 THEN 'drop' WHEN 5 THEN 'byzantine' WHEN 6 THEN 'partition' WHEN 7 THEN 'heal' ELSE CASE WHEN event_id % 5 = 0 THEN 'reset' ELSE 'latency' END END AS action, (event_id % 3)::DOUBLE AS value, CASE WHEN event_id % 4 > 0 THEN event_id % 6 END AS peer FROM events)"
+
+
+def _actions(spark, sf):
+    k = F.col("event_id")
+    names = ("kill", "revive", "latency", "throttle", "drop", "byzantine", "partition", "heal")
+    action = F.when(k % 9 == 8, F.when(k % 5 == 0, "reset").otherwise("latency"))
+    for i, name in enumerate(names):
+        action = action.when(k % 9 == i, name)
+    return c.table(spark, sf, "events").select(F.col("user_id").alias("node"), k.alias("seq"), action.alias("action"), (k % 3).cast("double").alias("value"), F.when(k % 4 > 0, k % 6).alias("peer"))
+
+
+@query(f"WITH {_ACTIONS}, r AS (SELECT a.*, max(CASE WHEN action = 'reset' THEN seq END) OVER (PARTITION BY node) AS z FROM a), l AS (SELECT * FROM r WHERE z IS NULL OR seq >= z) SELECT node, coalesce(max_by(action, seq) FILTER (action IN ('kill', 'revive')) = 'kill', false) AS killed, coalesce(max_by(value, seq) FILTER (action = 'latency'), 0.0) AS latency_ms, coalesce(max_by(value, seq) FILTER (action = 'throttle'), 0.0) AS throughput_bps, coalesce(max_by(value, seq) FILTER (action = 'drop'), 0.0) AS drop_rate, coalesce(max_by(value, seq) FILTER (action = 'byzantine'), 0.0) > 0 AS byzantine FROM l GROUP BY node")
+def chaos_state(spark, sf):
+    return faults.fault_state(_actions(spark, sf))
+
+
+@query(f"WITH {_ACTIONS}, r AS (SELECT a.*, coalesce(max(CASE WHEN action IN ('heal', 'reset') AND (peer IS NULL OR action = 'reset') THEN seq END) OVER (PARTITION BY node), -1) AS z FROM a) SELECT node, peer FROM r WHERE seq > z AND peer IS NOT NULL AND action IN ('partition', 'heal') GROUP BY node, peer HAVING max_by(action, seq) = 'partition'")
+def chaos_partitions(spark, sf):
+    rows = _actions(spark, sf)
+    return faults.partitions(rows.withColumn("peer", F.when(F.col("action") != "reset", F.col("peer"))))
+
+
+@query("WITH n AS (SELECT max(l_shipdate) AS m FROM lineitem), r AS (SELECT l_suppkey AS node, l_partkey AS hash, max(l_shipdate) AS ts, arg_max(l_orderkey % 3 > 0, (l_shipdate, l_orderkey % 3 > 0)) AS present FROM lineitem GROUP BY ALL) SELECT node, hash, CASE WHEN present THEN 'holds' WHEN epoch(ts) + 86400 * 400 > epoch(m) THEN 'denied' ELSE 'unknown' END AS belief FROM r, n")
+def denied_holders(spark, sf):
+    """What is known of replicas at the end of the table; a denial holds for 400 days."""
+    rows = c.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("node"), F.col("l_partkey").alias("hash"), F.col("l_shipdate").alias("ts"), (F.col("l_orderkey") % 3 > 0).alias("present"))
+    now = rows.agg(F.max("ts")).first()[0]
+    last = rows.groupBy("node", "hash", "ts").agg(F.bool_or("present").alias("present"))
+    return faults.known_holders(last, F.lit(now).cast("timestamp_ntz"), 400 * DAY)
+
+
+@query("WITH r AS (SELECT user_id AS id, event_id % 50 AS hb, event_id AS seq, event_type AS host FROM events) SELECT id, max(hb) AS hb, max_by(host, (hb, -seq)) AS host, min(seq) AS learned FROM r GROUP BY id")
+def membership_merge(spark, sf):
+    e = c.table(spark, sf, "events")
+    return faults.merge_members(e.select(F.col("user_id").alias("id"), (F.col("event_id") % 50).alias("hb"), F.col("event_id").alias("seq"), F.col("event_type").alias("host")))
+
+
+@query("SELECT l_suppkey AS node, l_partkey AS hash, sum(CASE WHEN l_linenumber % 2 = 1 THEN 1 ELSE -1 END)::BIGINT AS n FROM lineitem GROUP BY ALL HAVING sum(CASE WHEN l_linenumber % 2 = 1 THEN 1 ELSE -1 END) > 0")
+def pinned_chunks(spark, sf):
+    rows = c.table(spark, sf, "lineitem")
+    return faults.pins(rows.select(F.col("l_suppkey").alias("node"), F.col("l_partkey").alias("hash"), F.when(F.col("l_linenumber") % 2 == 1, 1).otherwise(-1).alias("delta")))
+
+
+@query(sql("files", "SELECT path, size, 1::BIGINT AS bumps FROM files UNION ALL SELECT DISTINCT '/etc/node-' || user_id % 12 || '.yaml', NULL, 1 FROM events").replace("NULL", "(SELECT 16 + sum(n)::BIGINT FROM (SELECT DISTINCT user_id % 12 AS u, event_type, length(event_type) + 11 AS n FROM events) q WHERE q.u = user_id % 12)"))
+def publish_manifests(spark, sf):
+    """All payloads and node settings published: each manifest's size is that of its file."""
+    rows = c.files(spark, sf).select("path", "data").unionByName(_configs(spark, sf))
+    m = manifests.publish(rows, F.split_part("path", F.lit("/"), F.lit(2)), 1.0)
+    return m.select("path", "size", F.try_element_at("vv", F.col("origin")).alias("bumps"))
+
+
+@query(sql("labelled", "SELECT '/etc/node-' || node || '.yaml' AS path, label, sha256(label || ': ' || substr(hash, 1, 8) || chr(10)) AS hash FROM labelled"))
+def manifest_labels(spark, sf):
+    return manifests.label_map(manifests.publish(_configs(spark, sf), F.lit("n0"), 1.0))
+
+
+@query(sql("files", "SELECT sha256(data) AS hash, size FROM files GROUP BY ALL"))
+def object_store(spark, sf):
+    """All payloads put into an object store twice, and read back."""
+    store = f"{shared_dir(spark)}/objects-{uuid.uuid4().hex}"
+    data = c.files(spark, sf).select(F.col("data").cast("binary").alias("data"), F.sha2("data", 256).alias("expected"))
+    objects.put(store, data)
+    objects.put(store, data)
+    return objects.scan(spark, store).select("hash", F.octet_length("data").cast("bigint").alias("size"))
