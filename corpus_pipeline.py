@@ -3,6 +3,12 @@
 Each stage takes all documents that its predecessor kept, with their changed texts, and
 is written as Parquet before the next one reads it. All stages but the last return the columns of
 documents: doc_id, text, lang, source, n_chars.
+
+Edge cases: null and empty texts fail the first stage, and texts that a stage empties go with it;
+rows with a null id pass all stages (a near-duplicate without an id stays, but its repeated
+passages go); repeated rows of one id stay together until the substring stage, which empties
+all but the first; empty tables give empty results; columns besides those of documents
+are dropped by the first stage.
 """
 
 from __future__ import annotations
@@ -34,8 +40,8 @@ def stage_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def stage_minhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that with the smallest id."""
-    return docs.join(near_duplicates(docs).where("kept").select("doc_id").distinct(), "doc_id", "left_semi").select(*COLUMNS)
+    """One document of each group of near-duplicates: that with the smallest id. Rows without an id stay."""
+    return docs.join(near_duplicates(docs).where("NOT kept").select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
 
 
 def stage_suffix_array(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
