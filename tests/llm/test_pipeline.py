@@ -110,3 +110,25 @@ def test_stages_against_brute_force(spark, docs):
     for r in sorted(corpus_pipeline.run(spark, SF).collect(), key=lambda r: (r.doc_id, r.start)):
         whole[r.doc_id] = whole.get(r.doc_id, b"") + r.ids
     assert whole == {i: np.array([*tok.encode(t, add_special_tokens=False).ids, 0], "<u4").tobytes() for i, t in docs}
+
+
+def test_edge_cases_pass_all_stages(spark, tmp_path):
+    import random
+
+    rng = random.Random(2)
+    text = lambda: " ".join("".join(rng.choices("abcdefgh", k=rng.randint(2, 8))) for _ in range(80)) + "."
+    one, two, three = text(), text(), text()
+    rows = [(1, one), (1, one), (2, one + " tail"), (3, None), (4, ""), (None, two), (5, two), (None, None), (6, three * 200), (7, "x " * 10)]
+    docs = spark.createDataFrame([(i, t, None, None, None, "extra", 1) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint, kept string, component_id int")
+    spark.read.parquet(f"{SF}/benchmark.parquet").limit(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    empty = docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        docs, empty = stage(spark, docs, str(tmp_path)), stage(spark, empty, str(tmp_path))
+        docs = spark.createDataFrame(docs.collect(), docs.schema)
+        empty = spark.createDataFrame(empty.collect(), empty.schema)
+        assert empty.count() == 0 and docs.count() > 0, name
+        if name == "minhash_near_dedup":
+            assert sorted(str(r.doc_id) for r in docs.collect()) == ["1", "1", "5", "None"]
+        elif name == "suffix_array_dedup":
+            assert sorted(str(r.doc_id) for r in docs.collect()) == ["1", "5"]
+    assert {r.doc_id for r in docs.collect()} == {1, 5}
