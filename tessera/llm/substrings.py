@@ -390,10 +390,10 @@ def op5_suffix_array(spark, sf_dir: str) -> DataFrame:
 
 SQL = f"""
 WITH d AS (SELECT doc_id, hex(coalesce(text, '')) AS h FROM documents),
-w AS (SELECT doc_id, i, substr(h, 2 * i + 1, {2 * LENGTH}) AS g FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - {LENGTH - 1})) AS i FROM d WHERE length(h) >= {2 * LENGTH})),
+w AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, {2 * LENGTH})) AS g FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - {LENGTH - 1})) AS i FROM d WHERE length(h) >= {2 * LENGTH})),
 r AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS k FROM w) WHERE k > 1),
-b AS (SELECT doc_id, h, unnest(range(0, length(h) // 2)) AS i FROM d),
-f AS (SELECT b.doc_id, b.i, substr(h, 2 * b.i + 1, 2) AS x, max(r.i IS NOT NULL) OVER (PARTITION BY b.doc_id ORDER BY b.i ROWS BETWEEN {LENGTH - 1} PRECEDING AND CURRENT ROW) AS gone
+b AS (SELECT doc_id, i, substr(h, 2 * i + 1, 2) AS x FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2)) AS i FROM d)),
+f AS (SELECT b.doc_id, b.i, x, max(r.i IS NOT NULL) OVER (PARTITION BY b.doc_id ORDER BY b.i ROWS BETWEEN {LENGTH - 1} PRECEDING AND CURRENT ROW) AS gone
       FROM b LEFT JOIN r ON r.doc_id = b.doc_id AND r.i = b.i),
 g AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS opens FROM f),
 s AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (opens) AS n_spans, string_agg(x, '' ORDER BY i) FILTER (NOT gone) AS k FROM g GROUP BY doc_id)
