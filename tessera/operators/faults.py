@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 
 def human_bytes(n: Column) -> Column:
-    """``12 B``, ``1.5 KB`` and so on up to TB."""
+    """``12 B``, ``1.5 KB`` and so on up to TB; halves go to the even digit."""
     out = F.when(F.abs(n) < 1024, F.format_string("%d B", n.cast("bigint")))
     for k, unit in enumerate(("KB", "MB", "GB"), 1):
-        out = out.when(F.abs(n) < 1024.0 ** (k + 1), F.format_string(f"%.1f {unit}", n / 1024.0**k))
-    return out.otherwise(F.format_string("%.1f TB", n / 1024.0**4))
+        out = out.when(F.abs(n) < 1024.0 ** (k + 1), F.format_string(f"%.1f {unit}", F.bround(n / 1024.0**k, 1)))
+    return out.otherwise(F.format_string("%.1f TB", F.bround(n / 1024.0**4, 1)))
 
 
 def address(text: Column, default_host: str = "127.0.0.1") -> Column:
