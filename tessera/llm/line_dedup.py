@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import cut
+
 SPACES = r"[ \t\n\x0B\f\r]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MIN_WORDS = 3
@@ -36,6 +38,8 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     units = units.withColumn("end", F.col("start") + F.col("len"))
     place = F.struct("doc_id", "__ld_key", "unit")
     first = units.where("digest IS NOT NULL").groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
+    # written, it is a plain side of the join, of which adaptive execution can split partitions of a very common unit
+    first = cut(first, "digests")
     later = units.where("digest IS NOT NULL").join(first, "digest").where(place != F.col("first"))
     gone = later.groupBy("doc_id", "__ld_key").agg(F.array_sort(F.collect_set(F.struct("unit", "start", "end"))).alias("removed"))
     joined = body.join(gone, ["doc_id", "__ld_key"], "left").withColumn("removed", F.coalesce("removed", F.array().cast(_REMOVED)))
