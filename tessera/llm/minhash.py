@@ -7,7 +7,8 @@
    common prefix lie next to each other; the prefix that makes a region is ``DEPTHS[0]``
    values long, and longer only where a region holds over ``REGION`` classes (counted
    before anything is moved). Within a region every class meets every other one
-   by signature, in blocks of the sorted order; what leaves the region are the edges of a
+   by signature; a region that at the last depth still holds over ``2 * REGION`` classes is dealt
+   to blocks, and every pair of blocks gets a task. What leaves a task are the edges of a
    spanning forest, never all pairs. A pair at similarity 0.75 misses all trees with
    a chance of (1 - 0.75**2)**16, about 2 in a million.
 3. The edges' components gather all that may be linked. Each is dealt to one task that holds
@@ -107,8 +108,8 @@ def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _grouped(batches: Iterator[pa.RecordBatch], key: str, most: int | None = None) -> Iterator[pa.RecordBatch]:
-    """Runs of whole groups from rows sorted by ``key``; with ``most``, a longer group comes in parts that share a row."""
+def _grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
+    """Runs of whole groups from rows sorted by ``key``."""
     held: pa.RecordBatch | None = None
     for batch in batches:
         if not batch.num_rows:
@@ -119,15 +120,12 @@ def _grouped(batches: Iterator[pa.RecordBatch], key: str, most: int | None = Non
         if cut_at:
             yield held.slice(0, cut_at)
             held = held.slice(cut_at)
-        while most and held.num_rows > 2 * most:
-            yield held.slice(0, most)
-            held = held.slice(most - 1)
     if held is not None:
         yield held
 
 
 def _region_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in _grouped(batches, "region", REGION):
+    for part in _grouped(batches, "region"):
         region = part.column("region").to_numpy(zero_copy_only=False)
         ids = part.column("id").to_numpy(zero_copy_only=False)
         tail = np.frombuffer(b"".join(part.column("tail").to_pylist()), np.uint8).reshape(len(ids), _HASHES)
@@ -137,21 +135,29 @@ def _region_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         alike = (tail[two] == tail[two + 1]).sum(1) >= EQUAL
         a, b = [ids[two[alike]]], [ids[two[alike] + 1]]
         for s, n in zip(begins[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
-            left = np.arange(s, s + n)
+            left, rest = np.arange(s, s + n), np.ascontiguousarray(tail[s : s + n].T)
             queue: list[int] = []
             while len(left):
                 if queue:
                     x = queue.pop()
                 else:
-                    x, left = int(left[0]), left[1:]
-                near = np.count_nonzero(tail[left] == tail[x], axis=1) >= EQUAL
-                found, left = left[near], left[~near]
+                    x, left, rest = int(left[0]), left[1:], rest[:, 1:]
+                near = (rest == tail[x][:, None]).sum(0, dtype=np.uint8) >= EQUAL
+                if not near.any():
+                    continue
+                found, left, rest = left[near], left[~near], np.compress(~near, rest, axis=1)
                 queue += found.tolist()
                 a.append(np.full(len(found), ids[x]))
                 b.append(ids[found])
         yield pa.record_batch([np.concatenate(a), np.concatenate(b)], names=["a", "b"])
 
 
+def _block_pairs(name, id, n_blocks):
+    """The tasks of a class whose group ``name`` is dealt to blocks: one for each pair of its block and another or the same."""
+    own = F.pmod(F.xxhash64(id), n_blocks)
+    return F.transform(F.sequence(F.lit(0), n_blocks - 1), lambda x: F.xxhash64(name, F.least(own, x.cast("bigint")), F.greatest(own, x.cast("bigint"))))
+
+
 def _forest_edges(classes: DataFrame) -> DataFrame:
     keys = ", ".join(f"k{d} bigint" for d in DEPTHS)
     trees = classes.select("id", "signature").mapInArrow(_trees, f"id bigint, {keys}, tail binary")
@@ -161,6 +167,12 @@ def _forest_edges(classes: DataFrame) -> DataFrame:
         if crowded.isEmpty():
             break
         trees = trees.join(crowded, "region", "left").withColumn("region", F.when(F.col("crowded"), F.col(f"k{deep}")).otherwise(F.col("region"))).drop("crowded")
+    else:
+        counts = trees.groupBy("region").count().where(F.col("count") > 2 * REGION)
+        counts = counts.select("region", F.ceil(F.col("count") / REGION).cast("int").alias("n_blocks"))
+        if not counts.isEmpty():
+            pairs = F.when(F.col("n_blocks").isNull(), F.array("region")).otherwise(_block_pairs("region", "id", F.col("n_blocks")))
+            trees = trees.join(counts, "region", "left").select(F.explode(pairs).alias("region"), "id", "tail")
     trees = trees.select("region", "id", "tail").repartition("region").sortWithinPartitions("region", "tail", "id")
     return trees.mapInArrow(_region_edges, "a bigint, b bigint")
 
@@ -221,8 +233,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # whole components to one task, or pairs of blocks of a large one
     near = near.join(classes.select("id", "n_shingles"), "id")
     blocks_of = near.groupBy("component").agg(F.ceil(F.sum("n_shingles") / SHINGLES).cast("int").alias("n_blocks"))
-    own = F.pmod(F.xxhash64("id"), F.col("n_blocks"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("n_blocks") - 1), lambda x: F.xxhash64("component", F.least(own, x.cast("bigint")), F.greatest(own, x.cast("bigint"))))
+    pairs = _block_pairs("component", "id", F.col("n_blocks"))
     dealt = cut(near.join(blocks_of, "component").select("id", "component", "n_blocks", pairs.alias("tasks")), "tasks")
     sets = texts.join(dealt.select("id", "tasks"), F.col("doc_id") == F.col("id")).select("id", "tasks", "text")
     sets = sets.mapInArrow(_sets, "id bigint, tasks array<bigint>, shingles binary")

@@ -57,3 +57,27 @@ def test_chain_and_star_of_near_copies(spark, monkeypatch, small):
     docs += [(100 + i, " ".join(f"v{i}x{k}" for k in range(50))) for i in range(20)]
     got = {tuple(r) for r in near_duplicates(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
     assert got == brute(docs)
+
+
+def test_sparse_pairs_in_a_crowded_region(spark):
+    import numpy as np
+    from tessera.llm.minhash import REGION, STEPS, TREES, _forest_edges
+
+    rng = np.random.default_rng(8)
+    n, pairs = 2 * REGION + 900, 60
+    sig = rng.integers(0, 2**32, (n, TREES * STEPS), dtype=np.uint32)
+    sig[:, :STEPS] = 7  # one region of the first tree holds all, and no other tree joins any
+    a, b = np.arange(pairs), np.arange(pairs) + n // 2
+    sig[b] = sig[a]
+    sig[b, STEPS + 1 :: STEPS] ^= np.uint32(1)
+    sig[a, STEPS] = 0  # the ends of the region's order
+    sig[b, STEPS] = 255
+    rows = [(i, sig[i].tobytes()) for i in range(n)]
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(batch)
+    spark.conf.set(batch, 500)
+    try:
+        edges = _forest_edges(spark.createDataFrame(rows, "id bigint, signature binary")).collect()
+    finally:
+        spark.conf.set(batch, before)
+    assert {(min(r), max(r)) for r in map(tuple, edges)} == set(zip(a.tolist(), b.tolist()))
