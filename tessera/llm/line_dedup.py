@@ -1,11 +1,11 @@
 """Operator 7, substring dedup by lines: normalised units, global digests, the earliest stays.
 
-Each ``\\n``-separated unit with at least ``MIN_WORDS`` words is normalised (a-z for A-Z, single spaces) and
-digested. For each digest the earliest (doc_id, unit) is found by a minimum that is combined
+Each ``\\n``-separated unit that isn't blank is normalised (a-z for A-Z, single spaces) and digested; ``dedup_lines``
+can leave out units of fewer than ``min_words`` words, the query takes all. For each digest the earliest (doc_id, unit) is found by a minimum that is combined
 before the shuffle, so a unit of a third of all documents costs no more than others; all
 later occurrences go. Only ids, lengths and digests travel, and each text once at the end.
 
-Edge cases: null is empty text; blank and very short units always stay; rows with a null id
+Edge cases: null is empty text; blank units (and those under ``min_words``) always stay; rows with a null id
 are left whole; repeated rows are one document, and each of them keeps what that keeps;
 an empty table gives no rows; other columns pass through, unless they have a result's name.
 """
@@ -60,7 +60,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 def op7_line_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     chars = F.aggregate("removed", F.lit(0).cast("bigint"), lambda a, r: a + r["end"] - r["start"])
-    return dedup_lines(docs).select("doc_id", "n_units", "n_removed", chars.alias("removed_chars"), F.sha2("kept_text", 256).alias("kept_sha256"))
+    return dedup_lines(docs, min_words=1).select("doc_id", "n_units", "n_removed", chars.alias("removed_chars"), F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 _CLEAN = f"trim(regexp_replace(translate(x, '{UPPER}', '{LOWER}'), '{SPACES}', ' ', 'g'), ' ')"

@@ -1,7 +1,7 @@
 import random
 import re
 
-from tessera.llm.line_dedup import dedup_lines
+from tessera.llm.line_dedup import dedup_lines, op7_line_dedup
 
 
 def brute(docs):
@@ -36,3 +36,10 @@ def test_edge_cases(spark):
     got = sorted((r.doc_id or 0, r.n_removed, r.kept_text) for r in dedup_lines(df).collect())
     assert got == [(0, 0, "a b c\na b c"), (1, 0, "a b c\nq"), (1, 0, "a b c\nq"), (2, 1, "")]
     assert dedup_lines(df.limit(0)).count() == 0
+
+
+def test_query_removes_repeated_short_lines(spark, tmp_path):
+    docs = [(1, "一个没有空格的段落\nTwo words\n \n"), (2, "new\n一个没有空格的段落\ntwo  WORDS\n "), (3, "NEW\nhttp://a.b/c\nhttp://a.b/c")]
+    spark.createDataFrame(docs, "doc_id bigint, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_units, r.n_removed, r.removed_chars) for r in op7_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {1: (4, 0, 0), 2: (4, 2, 19), 3: (3, 2, 15)}
