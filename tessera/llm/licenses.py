@@ -1,10 +1,13 @@
 """Operator 2, licence scans of paragraphs: n-gram logistic regression, then templates.
 
-A paragraph (a ``\\n``-separated line) is described by how often the word 1- and 2-grams of the licence
-templates occur in it. A logistic regression over these sparse counts gives a licence family or
+Paragraphs end at blank lines. In each, every stretch of words that begins and ends with 2-grams of a template,
+has ``CONFIRM`` of that template's 2-grams and at most ``2 * length + SLACK`` words (length: the template's)
+is a window, over line breaks and wherever it stands. A window
+is described by how often the word 1- and 2-grams of the licence templates occur in it. A logistic regression over these sparse counts gives a licence family or
 the class unknown; its scores are calibrated by a temperature fitted on examples that
-were not trained on, and a family below ``LEAST_CHANCE`` counts as unknown. Last, a prediction holds
-only if the paragraph has ``CONFIRM`` of the 2-grams of one of that family's templates.
+were not trained on, and a family below ``LEAST_CHANCE`` counts as unknown. A prediction holds
+only for windows of that family's templates; of windows that share words, the one with most of a template's
+2-grams stays.
 
 The examples are made here: templates with words dropped, changed and put around them, against
 shuffled template words and at most about ``SAMPLE`` paragraphs of the corpus, drawn by a hash
@@ -25,12 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.blocks import ALNUM, U64, blocks, flat, lower, mix, widen, widened, word_hashes, words
+from tessera.llm.blocks import ALNUM, U64, VISIBLE, blocks, flat, lower, mix, widen, widened, word_hashes, words
 
 SAMPLE = 2000
 SAMPLE_BYTES = 2000
 STEPS, RATE, DECAY = 200, 0.2, 1e-4
-LEAST_CHANCE, CONFIRM = 0.5, 0.6
+LEAST_CHANCE, CONFIRM, SLACK = 0.5, 0.6, 6
 UNKNOWN = "unknown"
 
 # Short notices by which the families are known.
@@ -56,7 +59,12 @@ def _grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     data = lower(data)
     starts, ends, at = words(data, offsets, ALNUM)
     one = word_hashes(data, starts, ends)
-    breaks = np.r_[0, np.cumsum(data == 10)]
+    # a line break with nothing but white space since the one before ends a blank line
+    lines = np.flatnonzero(data == 10)
+    seen = np.cumsum(VISIBLE[data], dtype=np.int64)[lines]
+    blank = np.zeros(len(data), bool)
+    blank[lines[1:][seen[1:] == seen[:-1]]] = True
+    breaks = np.r_[0, np.cumsum(blank)]
     new = np.r_[True, breaks[starts[1:]] > breaks[starts[:-1]]] if len(starts) else np.zeros(0, bool)
     new[at[:-1][np.diff(at) > 0]] = True
     first = np.flatnonzero(new)
@@ -127,6 +135,29 @@ class Classifier:
         out[:, -1] = 1
         return out
 
+    def _windows(self, two: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """First word, word after the last, family, 2-grams of the template and the template's own, for each window."""
+        places, _ = self.known(two)
+        found = []
+        for f, family in enumerate(self.families[1:], 1):
+            for template in self.templates[family]:
+                at = places[np.isin(two[places], np.array(list(template), U64))]
+                least = max(int(np.ceil(CONFIRM * len(template) - 1e-9)), 1)
+                reach = 2 * (len(template) + 1) + SLACK - 2
+                if len(at) < least:
+                    continue
+                first, last = at[: len(at) - least + 1], at[least - 1 :]
+                for i in np.flatnonzero((last - first <= reach) & (row[first] == row[last])).tolist():
+                    own: set[int] = set()
+                    for p in at[i : i + reach + 1].tolist():
+                        if p - at[i] > reach or row[p] != row[at[i]]:
+                            break
+                        fresh = int(two[p]) not in own
+                        own.add(int(two[p]))
+                        if fresh and len(own) >= least:
+                            found.append((at[i], p + 2, f, len(own), len(template)))
+        return np.array(found, np.int64).reshape(-1, 5)
+
     @staticmethod
     def _softmax(z: np.ndarray) -> np.ndarray:
         z = np.exp(z - z.max(1, keepdims=True))
@@ -142,34 +173,33 @@ class Classifier:
 
     def scan(self, texts: pa.Array) -> list[list[dict]]:
         """The confirmed licence paragraphs of each text."""
-        one, two, at, doc, starts, ends = _grams(texts)
+        one, two, at, _, starts, ends = _grams(texts)
         out: list[list[dict]] = [[] for _ in range(len(texts))]
         if not len(one):
             return out
-        n = len(at) - 1
-        row = np.repeat(np.arange(n), np.diff(at))
-        place, number = self.known(two)
-        candidates = np.flatnonzero(np.bincount(row[place], minlength=n))  # without a template's 2-gram nothing can be confirmed
-        if not len(candidates):
+        windows = self._windows(two, np.repeat(np.arange(len(at) - 1), np.diff(at)))
+        if not len(windows):
             return out
-        slot = np.full(n, -1)
-        slot[candidates] = np.arange(len(candidates))
-        scores = np.zeros((len(candidates), len(self.families)))
-        for grams in (one, two):
+        a, b, family = windows[:, 0], windows[:, 1], windows[:, 2]
+        scores = np.zeros((len(windows), len(self.families)))
+        for grams, last in ((one, b), (two, b - 1)):
             place, number = self.known(grams)
-            s = slot[row[place]]
-            np.add.at(scores, s[s >= 0], self.weights[number[s >= 0]])
-        scores = scores * 4 / np.maximum(2 * np.diff(at)[candidates] - 1, 1)[:, None] + self.weights[-1]
+            total = np.concatenate((np.zeros((1, len(self.families))), np.cumsum(self.weights[number], axis=0)))
+            scores += total[np.searchsorted(place, last)] - total[np.searchsorted(place, a)]
+        scores = scores * 4 / (2 * (b - a) - 1)[:, None] + self.weights[-1]
         chance = self._softmax(scores / self.temperature)
-        best = chance.argmax(1)
+        chance = np.where(chance.argmax(1) == family, chance.max(1), 0.0)
+        share = windows[:, 3] / windows[:, 4]
         offsets = flat(texts)[1]
-        for k in np.flatnonzero((best > 0) & (chance.max(1) >= LEAST_CHANCE)).tolist():
-            p, family = int(candidates[k]), self.families[best[k]]
-            a, b = int(at[p]), int(at[p + 1])
-            share = self.confirms(family, two[a : b - 1])
-            if share:
-                i = int(np.searchsorted(doc, p, "right")) - 1
-                out[i].append({"start": int(starts[a] - offsets[i]), "end": int(ends[b - 1] - offsets[i]), "family": family, "chance": float(chance[k, best[k]]), "template_share": share})
+        taken = np.zeros(len(one), bool)
+        for k in np.lexsort((a, -chance, -share, -windows[:, 3])).tolist():
+            if chance[k] < LEAST_CHANCE or taken[a[k] : b[k]].any():
+                continue
+            taken[a[k] : b[k]] = True
+            i = int(np.searchsorted(offsets, starts[a[k]], "right")) - 1
+            out[i].append({"start": int(starts[a[k]] - offsets[i]), "end": int(ends[b[k] - 1] - offsets[i]), "family": self.families[family[k]], "chance": float(chance[k]), "template_share": float(share[k])})
+        for found in out:
+            found.sort(key=lambda x: x["start"])
         return out
 
 

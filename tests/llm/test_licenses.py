@@ -30,3 +30,13 @@ def test_templates_unknown_and_edge_cases(spark):
     assert not got[90].licenses and not got[91].licenses and not got[92].licenses
     assert [x.family for x in got[None].licenses] == [x.family for x in got[94].licenses] == ["mit"]
     assert scan_licenses(df.limit(0), model).count() == 0
+
+
+def test_notices_inside_long_lines_and_over_line_breaks(spark):
+    model = train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    bsd = TEMPLATES["bsd"][0].replace("with or without ", "with or without\n * ")
+    long = " ".join(f"word{i % 37} of prose" for i in range(70))
+    texts = [f"{long} Released under the MIT License. {long}", f"/*\n * {bsd}\n */", "Released under\n\nthe MIT License.", f"{long} All rights\nreserved. {long} Licensed under the AGPL-3.0. {long}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: [(x.family, texts[r.doc_id].encode()[x.start : x.end].decode()) for x in r.licenses] for r in scan_licenses(df, model).collect()}
+    assert got == {0: [("mit", "Released under the MIT License")], 1: [("bsd", bsd[:-1])], 2: [], 3: [("reserved", "All rights\nreserved"), ("agpl", "Licensed under the AGPL-3.0")]}
