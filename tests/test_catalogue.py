@@ -53,3 +53,12 @@ def test_transfer_plan_invariants(spark):
         assert r.node != r.peer and r.rarity >= 1
     assert max(load.values()) <= 4 and max(plans.values()) <= 16
     assert len({(r.node, r.hash) for r in rows}) == len(rows)
+
+
+def test_every_node_observes_its_peers(spark):
+    from tessera.sources import cluster
+
+    sf = "/root/testdata/sf0.01"  # over twelve nodes
+    n = cluster.nodes(spark, sf).count()
+    rows = catalogue.queries()["peer_proximity"](spark, sf).collect()
+    assert len(rows) == n * (n - 1) and len({r.observer for r in rows}) == n
