@@ -2,7 +2,7 @@ import zlib
 
 import numpy as np
 import pytest
-from tessera.llm.packing import SIZE, op6_packing, pack, plan_cuts, tokenizer_path
+from tessera.llm.packing import SIZE, op6_packing, pack, plan_cuts, tokenizer_path, tokens
 
 TEXTS = [None, "", "one", "a  b   c\n \n d ", "it's <|endoftext|> here.\n\nAnd\tthere ", " lead. Two! Three?", "x" * 5000, "Wörter über  é  z  end", "A sentence here. " * 900, "a\n\n b\n c.\n"]
 
@@ -67,3 +67,23 @@ def test_plan_is_optimal(seed):
         for j in range(max(0, i - 10), i):
             best[i] = min(best[i], best[j] + 10 - (i - j) + price[i])
     assert min(v - p for p, v in zip(place, value) if p == n) == best[n]
+
+
+def test_null_and_large_ids_stay_as_they_are(spark):
+    docs = [(1, "one two."), (None, "three"), (2**60 + 1, "four five six"), (None, None)]
+    got = pack(spark.createDataFrame(docs, "doc_id bigint, text string").coalesce(1), tokenizer_path()).collect()
+    assert [r.doc_id for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)) if r.start == 0] == [d for d, _ in docs]
+    assert all(r.start == 0 and r.length == r.doc_tokens for r in got if r.doc_id is None)
+
+
+def test_words_and_whole_texts_have_equal_ids():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    texts = [*TEXTS, " ", "a  b  c", "tab \tend", "é \u0085x", "it 's\nit's", "a <| b", "x\x1c y \x1cz", "中文 字 ", "ends with space ", "😀 😀😀"] * 2
+    tok = tokens(tokenizer_path())
+    ids, at = tok.encode(pa.array(texts))
+    plain = Tokenizer.from_file(tokenizer_path())
+    for i, t in enumerate(texts):
+        assert ids[at[i] : at[i + 1]].tolist() == plain.encode(t or "", add_special_tokens=False).ids, t
+    assert len(tok.encode(pa.array([], pa.string()))[1]) == 1
