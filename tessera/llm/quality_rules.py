@@ -15,18 +15,23 @@ are, also if they carry names used here, as all working columns are prefixed.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The rules' patterns and limits.
 SPACE = r"[ \t\n\x0B\f\r]"
+SPACES = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 LINE_SYMBOLS = r"[#*$%&|<>{}~^=_\\]"
 SYMBOL_SHARE = 20  # a line fails if more than one character in 20 is such a symbol
 NAVIGATION = r"(?i)^(home|menu|next|previous|back to top|skip to content|log ?in|sign ?up|sitemap|share this)\b"
 NAVIGATION_CHARS = 60
-BOILERPLATE = r"(?i)(cookie policy|privacy policy|terms of (use|service)|all rights reserved|subscribe to our|enable javascript|lorem ipsum|click here)"
-ENDS = r"""[.!?:;…"'”’»)\]]$"""
+BOILERPLATE = ["cookie policy", "privacy policy", "terms of use", "terms of service", "all rights reserved", "subscribe to our", "enable javascript", "lorem ipsum", "click here"]
+BOILERPLATE_LINE = f"(?i)({'|'.join(BOILERPLATE)})"
+ENDS = """.!?:;…"'”’»)]"""
+SHOUT_LETTERS = 10
 SHORT_WORDS = 3
 MIN_WORDS = 20
 WINDOW = 8
@@ -34,34 +39,39 @@ REPEAT_PERCENT = 30
 LOSS_PERCENT = 50
 
 _P = "__qr_"
-
-
-def _removed(text: Column, chars: str) -> Column:
-    """How many of the text's bytes are one of these ASCII characters."""
-    total = F.lit(0)
-    for c in chars:
-        total = total + F.octet_length(text) - F.octet_length(F.replace(text, F.lit(c), F.lit("")))
-    return total
+_BLANK, _GOOD, _FAILS = 0, 1, 2
 
 
 def _without(line: Column, pattern: str) -> Column:
     return F.length(F.regexp_replace(line, pattern, ""))
 
 
-def line_fails(line: Column) -> Column:
-    """Whether a line that has a word fails one of the line rules."""
-    t = F.regexp_replace(line, rf"^{SPACE}+|{SPACE}+$", "")
-    chars, letters = F.length(t), _without(t, r"[^\p{L}]")
-    symbols = chars - _without(t, LINE_SYMBOLS)
+def line_fails(line: Column, symbols: Column | None = None, boilerplate: Column | None = None) -> Column:
+    """Whether a line, with no white space at its ends, fails one of the line rules.
+
+    ``symbols`` and ``boilerplate`` may say of the whole text whether it has what those rules look
+    for at all. The tests stand in the order of their cost.
+    """
+    yes = F.lit(True)
+    chars = F.length(line)
+    upper = chars - _without(line, r"\p{Lu}+")
+    letters = _without(line, r"[^\p{L}]+")
     return (
-        (symbols * SYMBOL_SHARE > chars)
-        | ((letters >= 10) & (_without(t, r"[^\p{Lu}]") * 2 > letters))
-        | ((chars < NAVIGATION_CHARS) & t.rlike(NAVIGATION))
-        | t.rlike(BOILERPLATE)
-        | (~t.rlike(ENDS) & (F.size(F.split(t, rf"{SPACE}+")) < SHORT_WORDS))
+        (~F.substring(line, -1, 1).isin(list(ENDS)) & (F.size(F.split(line, rf"{SPACE}+")) < SHORT_WORDS))
+        | ((chars < NAVIGATION_CHARS) & line.rlike(NAVIGATION))
+        | (yes if symbols is None else symbols) & ((chars - _without(line, LINE_SYMBOLS + "+")) * SYMBOL_SHARE > chars)
+        # over half of ten letters are six at least: only then all letters are counted
+        | ((upper * 2 > SHOUT_LETTERS) & (letters >= SHOUT_LETTERS) & (upper * 2 > letters))
+        | (yes if boilerplate is None else boilerplate) & line.rlike(BOILERPLATE_LINE)
     )
 
 
+def _window_hashes(hashes: Column) -> Column:
+    """A hash for each ``WINDOW`` words in a row, from one hash for each word."""
+    of = F.transform(hashes, lambda h, i: F.xxhash64(h, *[F.get(hashes, i + k) for k in range(1, WINDOW)]))
+    return F.when(F.size(hashes) >= WINDOW, F.slice(of, F.lit(1), F.size(hashes) - (WINDOW - 1))).otherwise(F.array().cast("array<bigint>"))
+
+
 def quality_rules(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, n_lines, n_lines_removed, cleaned_text and kept.
@@ -69,22 +79,23 @@ def quality_rules(docs: DataFrame, text: str = "text") -> DataFrame:
     Columns of these names in the input are replaced.
     """
     c = lambda name: F.col(_P + name)
-    value = F.coalesce(F.col(text), F.lit(""))
-    d = docs.withColumn(_P + "text", value)
+    others = [x for x in docs.columns if x not in _NAMES or x == text]
+    d = docs.select(*others).withColumn(_P + "text", F.coalesce(F.col(text), F.lit("")))
+    d = d.withColumn(_P + "low", F.lower(c("text")))
     d = d.withColumns({
-        _P + "words": F.filter(F.split(c("text"), SPACE + "+"), lambda w: w != ""),
-        _P + "lines": F.split(c("text"), "\n"),
+        _P + "words": F.array_remove(F.split(c("text"), SPACE + "+"), ""),
+        _P + "trimmed": F.transform(F.split(c("text"), "\n"), lambda x: F.btrim(x, F.lit(SPACES))),
+        _P + "symbols": c("text").rlike(LINE_SYMBOLS),
+        _P + "boilerplate": reduce(lambda a, b: a | b, [c("low").contains(x) for x in BOILERPLATE]),
     })
-    # a window's hash where there is one; a distinct count finds the few texts that repeat one
     d = d.withColumns({
         _P + "n": F.size(c("words")),
-        _P + "windows": F.when(
-            F.size(c("words")) >= WINDOW,
-            F.transform(F.sequence(F.lit(1), F.size(c("words")) - WINDOW + 1), lambda i: F.xxhash64(F.slice(c("words"), i, F.lit(WINDOW)))),
-        ).otherwise(F.array().cast("array<bigint>")),
-        _P + "full": F.filter(c("lines"), lambda x: x.rlike(r"[^ \t\n\x0B\f\r]")),
-        _P + "good": F.filter(c("lines"), lambda x: ~(x.rlike(r"[^ \t\n\x0B\f\r]") & line_fails(x))),
+        _P + "hashes": F.transform(c("words"), lambda w: F.xxhash64(w)),
+        # of each line whether it is blank, good or failing
+        _P + "kinds": F.transform(c("trimmed"), lambda t: F.when(t == "", _BLANK).when(line_fails(t, c("symbols"), c("boilerplate")), _FAILS).otherwise(_GOOD)),
     })
+    d = d.withColumn(_P + "windows", _window_hashes(c("hashes")))
+    # a distinct count finds the few texts that repeat a window
     empty = F.array().cast("array<struct<h:bigint,p:int>>")
     d = d.withColumn(
         _P + "sorted",
@@ -104,30 +115,35 @@ def quality_rules(docs: DataFrame, text: str = "text") -> DataFrame:
         lambda a, p: F.struct((a["n"] + p + WINDOW - F.greatest(p, a["end"])).cast("bigint").alias("n"), (p + WINDOW).alias("end")),
         lambda a: a["n"],
     )
-    lengths = lambda lines: F.aggregate(lines, F.lit(0).cast("bigint"), lambda a, x: a + F.length(x))
-    good_full = F.filter(c("good"), lambda x: x.rlike(r"[^ \t\n\x0B\f\r]"))
+    # characters of the lines of a kind: line breaks stand between the lines of an array
+    of_kind = lambda kind: F.zip_with(F.split(c("text"), "\n"), c("kinds"), lambda x, k: F.when(kind(k), x))
+    chars = lambda kind: F.length(F.array_join(of_kind(kind), "")).cast("bigint")
     d = d.withColumns({
         _P + "repeat": repeat,
-        _P + "all_chars": lengths(c("full")),
-        _P + "good_chars": lengths(good_full),
-        _P + "n_good": F.size(good_full),
+        _P + "all_chars": chars(lambda k: k != _BLANK),
+        _P + "lost_chars": chars(lambda k: k == _FAILS),
     })
     failed = (c("n") < MIN_WORDS) | (100 * c("repeat") > REPEAT_PERCENT * c("n"))
-    lost = (c("all_chars") - c("good_chars")) * 100 > c("all_chars") * LOSS_PERCENT
-    d = d.withColumns({
-        "n_words": c("n").cast("bigint"),
-        "word_chars": (F.length(c("text")) - _removed(c("text"), " \t\n\x0b\f\r")).cast("bigint"),
-        "n_symbols": _removed(c("text"), SYMBOLS).cast("bigint"),
-        "n_dup_lines": (F.size(c("full")) - F.size(F.array_distinct(F.transform(c("full"), lambda x: F.xxhash64(x))))).cast("bigint"),
-        "n_repeat_words": c("repeat"),
-        "base_failed": failed,
-        "n_lines": F.size(c("full")).cast("bigint"),
-        "n_lines_removed": (F.size(c("full")) - c("n_good")).cast("bigint"),
-        "cleaned_text": F.array_join(c("good"), "\n"),
-        # the id, never negative, keeps the optimizer from copying all of the above into a filter on this column
-        "kept": ~failed & ~lost & (F.monotonically_increasing_id() >= 0),
-    })
-    return d.drop(*[x for x in d.columns if x.startswith(_P)])
+    # a document's counts are one value, told once by a generator of one row: a filter on what it tells stays above it
+    told = F.struct(
+        c("n").cast("bigint").alias("n_words"),
+        F.length(F.array_join(c("words"), "")).cast("bigint").alias("word_chars"),
+        (F.length(c("text")) - _without(c("text"), f"[{SYMBOLS}]+")).cast("bigint").alias("n_symbols"),
+        F.when(
+            F.size(c("kinds")) > 1, F.size(of_full := F.array_compact(of_kind(lambda k: k != _BLANK))) - F.size(F.array_distinct(of_full))
+        ).otherwise(0).cast("bigint").alias("n_dup_lines"),
+        c("repeat").alias("n_repeat_words"),
+        failed.alias("base_failed"),
+        (F.size(c("kinds")) - F.size(F.filter(c("kinds"), lambda k: k == _BLANK))).cast("bigint").alias("n_lines"),
+        F.size(F.filter(c("kinds"), lambda k: k == _FAILS)).cast("bigint").alias("n_lines_removed"),
+        (~failed & ~(c("lost_chars") * 100 > c("all_chars") * LOSS_PERCENT)).alias("kept"),
+    )
+    d = d.select(*others, c("text"), c("kinds"), F.inline_outer(F.array(told)))
+    d = d.withColumn("cleaned_text", F.array_join(of_kind(lambda k: k != _FAILS), "\n"))
+    return d.select(*others, *_NAMES)
+
+
+_NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_lines", "n_lines_removed", "cleaned_text", "kept"]
 
 
 def op8_quality_rules(spark, sf_dir: str) -> DataFrame:
@@ -147,8 +163,8 @@ def _sql() -> str:
         f"((length({t}) - {left(quote(LINE_SYMBOLS))}) * {SYMBOL_SHARE} > length({t})"
         f" OR ({left('[^\\p{L}]')} >= 10 AND {left('[^\\p{Lu}]')} * 2 > {left('[^\\p{L}]')})"
         f" OR (length({t}) < {NAVIGATION_CHARS} AND regexp_matches({t}, '{quote(NAVIGATION)}'))"
-        f" OR regexp_matches({t}, '{quote(BOILERPLATE)}')"
-        f" OR (NOT regexp_matches({t}, '{quote(ENDS)}') AND len(regexp_split_to_array({t}, '{SPACE}+')) < {SHORT_WORDS}))"
+        f" OR regexp_matches({t}, '{quote(BOILERPLATE_LINE)}')"
+        f" OR (NOT regexp_matches({t}, '[{quote(ENDS.replace(']', chr(92) + ']'))}]$') AND len(regexp_split_to_array({t}, '{SPACE}+')) < {SHORT_WORDS}))"
     )
     return f"""
     WITH d AS (SELECT doc_id, coalesce(text, '') AS t,
