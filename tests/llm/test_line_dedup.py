@@ -33,7 +33,7 @@ def test_against_brute_force(spark):
 
 def test_edge_cases(spark):
     df = spark.createDataFrame([(None, "a b c\na b c"), (1, "a b c\nq"), (1, "a b c\nq"), (2, "A b  c")], "doc_id bigint, text string")
-    got = sorted((r.doc_id or 0, r.n_removed, r.kept_text) for r in dedup_lines(df).collect())
+    got = sorted((r.doc_id or 0, r.n_removed_units, r.kept_text) for r in dedup_lines(df).collect())
     assert got == [(0, 0, "a b c\na b c"), (1, 0, "a b c\nq"), (1, 0, "a b c\nq"), (2, 1, "")]
     assert dedup_lines(df.limit(0)).count() == 0
 
@@ -41,5 +41,13 @@ def test_edge_cases(spark):
 def test_query_removes_repeated_short_lines(spark, tmp_path):
     docs = [(1, "一个没有空格的段落\nTwo words\n \n"), (2, "new\n一个没有空格的段落\ntwo  WORDS\n "), (3, "NEW\nhttp://a.b/c\nhttp://a.b/c")]
     spark.createDataFrame(docs, "doc_id bigint, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.doc_id: (r.n_units, r.n_removed, r.removed_chars) for r in op7_line_dedup(spark, str(tmp_path)).collect()}
-    assert got == {1: (4, 0, 0), 2: (4, 2, 19), 3: (3, 2, 15)}
+    got = {r.doc_id: (r.n_units, r.n_removed_units, r.n_removed) for r in op7_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {1: (4, 0, 0), 2: (4, 2, 39), 3: (3, 2, 17)}
+
+
+def test_paragraphs(spark):
+    docs = [(1, "First one.\nIt has two lines.\n\nSecond."), (2, "new\n\nfirst ONE. It\nhas two  lines.\n\nthird"), (3, "second.\n\nSECOND.")]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = {r.doc_id: r for r in dedup_lines(df, min_words=1, unit="paragraph").collect()}
+    assert {i: (r.n_units, r.n_removed_units, r.kept_text) for i, r in got.items()} == {1: (2, 0, docs[0][1]), 2: (3, 1, "new\n\nthird"), 3: (2, 2, "")}
+    assert all(docs[i - 1][1][x.start : x.end] == docs[i - 1][1].split("\n\n")[x.unit] for i, r in got.items() for x in r.removed)
