@@ -124,7 +124,8 @@ def quality_rules(docs: DataFrame, text: str = "text") -> DataFrame:
         _P + "lost_chars": chars(lambda k: k == _FAILS),
     })
     failed = (c("n") < MIN_WORDS) | (100 * c("repeat") > REPEAT_PERCENT * c("n"))
-    # a document's counts are one value, told once by a generator of one row: a filter on what it tells stays above it
+    # what is found is one value, told once by a generator of one row: a filter on any part of it stays above it, and isn't
+    # copied with all of the above to the scan
     told = F.struct(
         c("n").cast("bigint").alias("n_words"),
         F.length(F.array_join(c("words"), "")).cast("bigint").alias("word_chars"),
@@ -136,11 +137,10 @@ def quality_rules(docs: DataFrame, text: str = "text") -> DataFrame:
         failed.alias("base_failed"),
         (F.size(c("kinds")) - F.size(F.filter(c("kinds"), lambda k: k == _BLANK))).cast("bigint").alias("n_lines"),
         F.size(F.filter(c("kinds"), lambda k: k == _FAILS)).cast("bigint").alias("n_lines_removed"),
+        F.array_join(of_kind(lambda k: k != _FAILS), "\n").alias("cleaned_text"),
         (~failed & ~(c("lost_chars") * 100 > c("all_chars") * LOSS_PERCENT)).alias("kept"),
     )
-    d = d.select(*others, c("text"), c("kinds"), F.inline_outer(F.array(told)))
-    d = d.withColumn("cleaned_text", F.array_join(of_kind(lambda k: k != _FAILS), "\n"))
-    return d.select(*others, *_NAMES)
+    return d.select(*others, F.inline_outer(F.array(told)))
 
 
 _NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_lines", "n_lines_removed", "cleaned_text", "kept"]
