@@ -184,25 +184,34 @@ def _pieces(docs: pa.Table, keys: pa.Table, frequent) -> pa.Table:
 
 
 def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
-    """All suffixes in order of their first ``depth`` symbols (of 9 bits), by doubling."""
+    """All suffixes in order of their first ``depth`` symbols (of 9 bits), by doubling.
+
+    Each round sorts only suffixes that are still equal to a neighbour, within their places.
+    """
     n = len(symbols)
-    padded = np.zeros(n + 7, np.int64)
+    padded = np.zeros(n + 6, np.int64)
     padded[:n] = symbols
     key = np.zeros(n, np.int64)
     for k in range(7):
         key = (key << 9) | padded[k : k + n]
-    known = 7
+    order = np.argsort(key)
+    ordered, known = key[order], 7
+    rank = np.empty(n, np.int64)  # the place behind a suffix's equals
+    places = np.arange(n)  # of suffixes that are not yet alone
     while True:
-        order = np.argsort(key)
-        ordered = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.r_[1, ordered[1:] != ordered[:-1]])
-        if known >= depth or rank[order[-1]] == n:
+        ends = np.flatnonzero(np.r_[ordered[1:] != ordered[:-1], True]) if len(ordered) else places
+        sizes = np.diff(np.r_[-1, ends])
+        rank[order[places]] = np.repeat(places[ends] + 1, sizes)
+        open_ = np.repeat(sizes > 1, sizes)
+        places = places[open_]
+        if known >= depth or not len(places):
             return order
         step = min(known, depth - known)
-        further = np.zeros(n, np.int64)
-        further[: n - step] = rank[step:]
-        key = rank * (n + 1) + further
+        at = order[places]
+        further = np.where(at + step < n, rank[np.minimum(at + step, n - 1)], 0)
+        ordered = rank[at] * (n + 1) + further
+        again = np.argsort(ordered)
+        order[places], ordered = at[again], ordered[again]
         known += step
 
 
@@ -323,22 +332,26 @@ def _remove(docs: pa.Table, told: pa.Table, frequent, as_text: bool) -> pa.Table
     flags = np.zeros(len(data) + 1, np.int32)
     flags[starts] += 1
     flags[starts + counts] -= 1
-    flags = np.cumsum(flags[:-1]) > 0
+    flags = np.cumsum(flags[:-1], dtype=np.int32) > 0
     masks = told.filter(pc.is_valid(told.column("mask")))
     if masks.num_rows and len(starts):
         at = {(d, a): (s, c) for d, a, s, c in zip(ids[row].tolist(), ((nth[row] << 40) + starts - offsets[row]).tolist(), starts.tolist(), counts.tolist())}
         for d, a, m in zip(masks.column("doc").to_pylist(), masks.column("at").to_pylist(), masks.column("mask").to_pylist()):
             s, c = at[d, a]
             flags[s : s + c] = np.unpackbits(np.frombuffer(m, np.uint8), count=c) if m else False
-    total = np.r_[0, np.cumsum(flags)]
-    i = np.arange(len(data))
-    gone = total[i + 1] > total[np.maximum(i - LENGTH + 1, 0)]
+    # a byte goes if one of the LENGTH windows that hold it is flagged
+    total = np.zeros(len(data) + 1, np.int32)
+    np.cumsum(flags, out=total[1:])
+    gone = total[1:] > 0
+    gone[LENGTH - 1 :] = total[LENGTH:] > total[: max(len(data) - LENGTH + 1, 0)]
+    del total, flags
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
-    begins = np.flatnonzero(gone & (np.r_[True, ~gone[:-1]] | edge[:-1])) if len(data) else i
-    ends = np.flatnonzero(gone & (np.r_[~gone[1:], True] | edge[1:])) + 1 if len(data) else i
-    counted = np.r_[0, np.cumsum(gone)]
-    n_removed = counted[offsets[1:]] - counted[offsets[:-1]]
+    begins = np.flatnonzero(gone & (np.r_[True, ~gone[:-1]] | edge[:-1])) if len(data) else np.zeros(0, np.int64)
+    ends = np.flatnonzero(gone & (np.r_[~gone[1:], True] | edge[1:])) + 1 if len(data) else np.zeros(0, np.int64)
+    counted = np.zeros(len(data) + 1, np.int32)
+    np.cumsum(gone, out=counted[1:])
+    n_removed = (counted[offsets[1:]] - counted[offsets[:-1]]).astype(np.int64)
     n_bytes = np.diff(offsets)
     kept, kept_at = data[~gone].tobytes(), np.r_[0, np.cumsum(n_bytes - n_removed)].tolist()
     base = np.repeat(offsets[:-1], np.diff(np.searchsorted(begins, offsets)))
