@@ -35,6 +35,17 @@ class Bloom:
     def __contains__(self, item: str) -> bool:
         return all(self.bits[i >> 3] >> (i & 7) & 1 for i in indices(item, self.m, self.k))
 
+    def nbytes(self) -> int:
+        return len(self.bits)
+
+    def to_dict(self) -> dict:
+        """The filter as values that JSON can carry."""
+        return {"m": self.m, "k": self.k, "bits": self.bits.tobytes().hex()}
+
+    @classmethod
+    def from_dict(cls, d: dict) -> Bloom:
+        return cls(d["m"], d["k"], bytes.fromhex(d["bits"]))
+
     def fill_ratio(self) -> float:
         return int(np.unpackbits(self.bits).sum()) / self.m
 

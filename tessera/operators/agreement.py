@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators import merkle
+
 
 def drift(labelled: DataFrame) -> DataFrame:
     """Each node that differs from the majority on a label: label, majority_hash (null: the key is absent), majority_count, node, hash.
@@ -27,6 +29,5 @@ def consistency(roots: DataFrame) -> DataFrame:
 
 
 def namespace_roots(labelled: DataFrame) -> DataFrame:
-    """One hash for all that a node has."""
-    pairs = F.array_sort(F.collect_list(F.concat_ws("=", "label", "hash")))
-    return labelled.groupBy("node").agg(F.sha2(F.array_join(pairs, ";"), 256).alias("root"))
+    """The Merkle root of all that a node has (node, label, hash)."""
+    return merkle.roots(labelled.select("node", F.col("label").alias("key"), F.col("hash").alias("value")), "node")

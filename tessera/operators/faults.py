@@ -31,6 +31,36 @@ def fault_state(actions: DataFrame) -> DataFrame:
     return rows.groupBy("node").agg(F.coalesce(killed == "kill", F.lit(False)).alias("killed"), zero(last("latency")).alias("latency_ms"), zero(last("throttle")).alias("throughput_bps"), zero(last("drop")).alias("drop_rate"), (zero(last("byzantine")) > 0).alias("byzantine"))
 
 
+ACTIONS = ("kill", "revive", "partition", "heal", "latency", "throttle", "drop", "byzantine", "reset")
+
+
+def reply(action: Column) -> Column:
+    """What a node answers to a fault action: ok, and the reason if it doesn't know the action."""
+    known = action.isin(*ACTIONS)
+    return F.struct(F.coalesce(known, F.lit(False)).alias("ok"), F.when(~F.coalesce(known, F.lit(False)), F.concat(F.lit("unknown action "), action)).alias("reason"))
+
+
+def blocks(killed: Column, cut_off: Column, peer: Column) -> Column:
+    """Whether a node, killed or cut off from the peers in an array, can't reach ``peer``."""
+    return killed | F.coalesce(F.array_contains(cut_off, peer), F.lit(False))
+
+
+def drops(drop_rate: Column, draw: Column) -> Column:
+    """Whether a message is lost: ``draw`` is uniform in [0, 1)."""
+    return (drop_rate > 0) & (draw < drop_rate)
+
+
+def delay(latency_ms: Column, throughput_bps: Column, nbytes: Column) -> Column:
+    """Seconds that a node holds back ``nbytes``: its latency, and the bytes at its throughput if that is limited."""
+    return latency_ms / 1000.0 + F.when((throughput_bps > 0) & (nbytes > 0), nbytes / throughput_bps).otherwise(0.0)
+
+
+def link_delay(rack_a: Column, rack_b: Column, draw: Column, intra_ms: float = 0.5, inter_ms: float = 12.0, jitter: float = 0.3) -> Column:
+    """Seconds between two racks, with a jitter of ``draw`` (uniform in [0, 1))."""
+    base = F.when(rack_a == rack_b, intra_ms).otherwise(inter_ms)
+    return F.greatest(F.lit(0.0), base * (1 + (2 * draw - 1) * jitter)) / 1000.0
+
+
 def partitions(actions: DataFrame) -> DataFrame:
     """(node, peer) that are cut off after all actions (node, seq, action, peer); a heal or reset without peer mends all."""
     own = Window.partitionBy("node")

@@ -10,8 +10,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions import gear, structured
+from tessera.functions import gear, reed_solomon, structured
 from tessera.operators.history import bump
+from tessera.session import cut
 
 FIELDS = "path string, size bigint, mode int, mtime double, chunks array<string>, sizes array<bigint>, vv map<string,bigint>, origin string, created double, deleted boolean, note string, labels array<string>, ec string"
 CONTENT = ("path", "size", "chunks", "sizes", "labels", "ec")
@@ -71,6 +72,98 @@ def publish(files: DataFrame, origin: Column, moment: float, previous: DataFrame
     return digests(rows)
 
 
+def publish_coded(files: DataFrame, origin: Column, moment: float, k: int, m: int, previous: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Manifests whose chunks are coded into k + m fragments each, and the fragments (chunk, idx, hash, fragment, size).
+
+    Files with a structure are not coded. ``ec`` maps each chunk to k, m, the fragments'
+    hashes in order, their length and the chunk's.
+    """
+    plain = publish(files, origin, moment, previous).drop("digest", "content_id")
+    unstructured = files.join(plain.where("labels IS NOT NULL").select("path"), "path", "left_anti")
+    chunks = gear.chunk_files(unstructured, with_data=True)
+    pieces = reed_solomon.encode_files(chunks.dropDuplicates(["hash"]).select(F.col("hash").alias("path"), "data"), k, m)
+    pieces = pieces.select(F.col("path").alias("chunk"), "idx", F.sha2("fragment", 256).alias("hash"), "fragment", "size")
+    groups = pieces.groupBy("chunk").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "hash"))), lambda x: x["hash"]).alias("frags"), F.max(F.octet_length("fragment")).alias("shard_len"), F.max("size").alias("orig_len"))
+    entry = F.struct(F.lit(k).alias("k"), F.lit(m).alias("m"), "frags", "shard_len", "orig_len")
+    maps = chunks.select("path", F.col("hash").alias("chunk")).distinct().join(groups, "chunk").groupBy("path").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("chunk", entry)))).alias("ec_map"))
+    rows = plain.drop("ec").join(maps, "path", "left").withColumn("ec", F.to_json("ec_map")).drop("ec_map")
+    return digests(rows), pieces
+
+
+_EC = "map<string,struct<k:int,m:int,frags:array<string>,shard_len:bigint,orig_len:bigint>>"
+
+
+def groups(manifests: DataFrame) -> DataFrame:
+    """path, chunk, k, m, frags, shard_len, orig_len of each coded chunk."""
+    return manifests.where("ec IS NOT NULL").select("path", F.explode(F.from_json("ec", _EC)).alias("chunk", "g")).select("path", "chunk", "g.*")
+
+
+def coding_stats(manifests: DataFrame, held: DataFrame) -> DataFrame:
+    """path, k, m, overhead, tolerates, n_groups, fragments_present (of ``held``, hash), fragments_total."""
+    rows = groups(manifests).select("path", "chunk", "k", "m", F.explode("frags").alias("hash"))
+    rows = rows.join(held.select("hash", F.lit(1).alias("here")).distinct(), "hash", "left")
+    out = rows.groupBy("path").agg(F.max("k").alias("k"), F.max("m").alias("m"), F.countDistinct("chunk").alias("n_groups"), F.count("here").alias("fragments_present"), F.count("*").alias("fragments_total"))
+    return out.select("path", "k", "m", F.round((F.col("k") + F.col("m")) / F.col("k"), 2).alias("overhead"), F.col("m").alias("tolerates"), "n_groups", "fragments_present", "fragments_total")
+
+
+def repair(manifests: DataFrame, fragments: DataFrame, held: DataFrame, k: int, m: int) -> DataFrame:
+    """Coded chunks that are not ``held`` (hash) made again from ``fragments`` (hash, fragment): chunk, data, ok.
+
+    A chunk with under k fragments gives no row; ok is false where the bytes lack the chunk's hash.
+    """
+    wanted = groups(manifests).select("chunk", "orig_len", F.posexplode("frags").alias("idx", "hash")).dropDuplicates(["chunk", "idx"])
+    wanted = wanted.join(held.select(F.col("hash").alias("chunk")), "chunk", "left_anti")
+    rows = wanted.join(fragments.select("hash", "fragment").dropDuplicates(["hash"]), "hash")
+    made = reed_solomon.decode_files(rows.select(F.col("chunk").alias("path"), F.col("idx").cast("int").alias("idx"), "fragment", F.col("orig_len").alias("size")), k, m)
+    return made.where("data IS NOT NULL").select(F.col("path").alias("chunk"), "data", (F.sha2("data", 256) == F.col("path")).alias("ok"))
+
+
+def edited(data: Column, offset: Column, new: Column) -> Column:
+    """Bytes with ``new`` written at ``offset``; a gap behind the old end is filled with zeros."""
+    head = F.rpad(F.substring(data, F.lit(1), offset), offset, F.lit(bytearray(1)))
+    return F.concat(F.when(offset > 0, head).otherwise(F.lit(bytearray())), new, F.substring(data, offset + F.octet_length(new) + 1, F.octet_length(data)))
+
+
+def nbytes(manifests: DataFrame) -> DataFrame:
+    """path and the size of a manifest as JSON text without blanks."""
+    return manifests.select("path", F.octet_length(as_json(manifests)).cast("bigint").alias("manifest_bytes"))
+
+
+def as_json(manifests: DataFrame) -> Column:
+    """A manifest as one line of JSON, nulls included."""
+    names = [f.split()[0] for f in FIELDS.split(", ")]
+    return F.to_json(F.struct(*names), {"ignoreNullFields": "false"})
+
+
+def add_versions(store: str, manifests: DataFrame) -> DataFrame:
+    """Write versions that the store lacks, a line of JSON each under their path's folder; returns those written (path, digest)."""
+    spark = manifests.sparkSession
+    known = load_versions(spark, store).select("digest")
+    new = cut(manifests.dropDuplicates(["digest"]).join(known, "digest", "left_anti"), "new-versions")
+    new.select(as_json(new).alias("value")).write.mode("append").text(f"{store}/versions")
+    return new.select("path", "digest")
+
+
+def load_versions(spark, store: str) -> DataFrame:
+    """All versions of a store with their digests; lines that aren't a manifest are skipped."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{store}/versions")
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], FIELDS + ", digest string, content_id string")
+    rows = spark.read.schema(f"{FIELDS}, _corrupt string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(f"{store}/versions")
+    return digests(rows.select("*").where("path IS NOT NULL AND chunks IS NOT NULL AND _corrupt IS NULL").drop("_corrupt"))
+
+
+def set_current(store: str, refs: DataFrame, turn: int) -> None:
+    """Name the current digest of paths (path, digest). A turn's refs are one folder, added whole; later turns win."""
+    refs.select("path", "digest", F.lit(turn).cast("bigint").alias("turn")).write.mode("append").parquet(f"{store}/refs")
+
+
+def current_refs(spark, store: str) -> DataFrame:
+    """path, digest as last set."""
+    rows = spark.read.schema("path string, digest string, turn bigint").parquet(f"{store}/refs")
+    return rows.groupBy("path").agg(F.max_by("digest", F.struct("turn", "digest")).alias("digest"))
+
+
 def rollback(manifests: DataFrame, targets: DataFrame, node: Column, moment: float) -> DataFrame:
     """New manifests with the content of older ones: ``targets`` (path, digest); an unknown digest gives none."""
     current = manifests.groupBy("path").agg(F.max_by("vv", "created").alias("now"))

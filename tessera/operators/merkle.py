@@ -43,6 +43,39 @@ def differing(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.join(other, "idx", "full").where(~F.col("hash").eqNullSafe(F.col("other"))).select("idx")
 
 
+def differing_by_level(a: DataFrame, b: DataFrame, n: int = LEAVES) -> DataFrame:
+    """Leaves (idx) of two trees' levels (level, idx, hash) reached from the root through differing nodes only.
+
+    Trees of different depth differ in all leaves of the first.
+    """
+    tops = [x.agg(F.max("level")).first()[0] for x in (a, b)]
+    if tops[0] != tops[1]:
+        return a.where("level = 0").select("idx")
+    other = b.select("level", "idx", F.col("hash").alias("other"))
+    bad = a.join(other, ["level", "idx"]).where("hash <> other").select("level", "idx")
+    # a leaf counts if it and all its ancestors differ: one row for each of them meets at the leaf
+    span = F.sequence((F.col("idx") * F.expr("1 << level")).cast("bigint"), ((F.col("idx") + 1) * F.expr("1 << level") - 1).cast("bigint"))
+    return bad.select(F.explode(span).alias("idx"), "level").groupBy("idx").agg(F.count("*").alias("n")).where(F.col("n") == tops[0] + 1).select("idx")
+
+
+def round_of(buckets: DataFrame, limit: int = 16) -> DataFrame:
+    """The buckets that one round of repair asks for."""
+    return buckets.orderBy("idx").limit(limit)
+
+
+def roots(entries: DataFrame, by: str, n: int = LEAVES) -> DataFrame:
+    """One Merkle root for each value of ``by`` over its entries (by, key, value). A tree of n leaves is one array in a row."""
+    part = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("key", "value"))), lambda e: F.concat(e["key"], F.lit(_END), e["value"], F.lit(_END))), "")
+    full = entries.withColumn("idx", bucket(F.col("key"), n).cast("int")).groupBy(by, "idx").agg(F.sha2(part, 256).alias("hash"))
+    rows = full.groupBy(by).agg(F.map_from_entries(F.collect_list(F.struct("idx", "hash"))).alias("m"))
+    rows = rows.withColumn("level", F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(EMPTY))))
+    while n > 1:
+        n //= 2
+        two = lambda i: F.sha2(F.concat(F.get("level", 2 * i), F.lit(_END), F.get("level", 2 * i + 1), F.lit(_END)), 256)
+        rows = rows.withColumn("level", F.transform(F.sequence(F.lit(0), F.lit(n - 1)), two))
+    return rows.select(by, F.get("level", F.lit(0)).alias("root"))
+
+
 def divergent_keys(local: DataFrame, remote: DataFrame, n: int = LEAVES) -> DataFrame:
     """Keys of the remote entries that are absent or different here, looked for in differing buckets only."""
     idx = differing(leaves(local, n), leaves(remote, n))

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import bloom, gear, reed_solomon, structured
 from tessera.operators import agreement, catalog, faults, history, manifests, merkle, replicas, simulate, telemetry
-from tessera.session import shared_dir
+from tessera.plans import cluster_queries  # noqa: F401
+from tessera.plans.registry import QUERIES, SQL, query
+from tessera.session import cut, shared_dir
 from tessera.sources import cluster as c
 from tessera.sources import objects
 from tessera.sources.cluster import sql
@@ -20,26 +20,12 @@ FLAGSHIP = "cluster_summary"
 MOMENT = "1995-06-30 00:00:00"
 DAY = 86400.0
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(oracle: str | None = None):
-    def keep(f):
-        _QUERIES[f.__name__] = f
-        if oracle:
-            _SQL[f.__name__] = oracle
-        return f
-
-    return keep
-
-
 def queries() -> dict:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return dict(_SQL)
+    return dict(SQL)
 
 
 def _interest(spark, sf):
@@ -228,7 +214,15 @@ def merkle_diff(spark, sf):
     return merkle.divergent_keys(remote.where("cast(split(key, '/')[0] as bigint) % 50 <> 3"), remote)
 
 
-@query(sql("labelled", ", r AS (SELECT node, sha256(string_agg(label || '=' || hash, ';' ORDER BY label || '=' || hash)) AS root FROM labelled GROUP BY node), g AS (SELECT root, count(*) AS n, min(node) AS f FROM r GROUP BY root), m AS (SELECT (SELECT root FROM g ORDER BY n DESC, f LIMIT 1) AS majority, (SELECT count(*) FROM g) AS n_roots) SELECT node, root, majority, n_roots, root = majority AS agrees FROM r, m").replace(" , r AS", ", r AS"))
+def _roots_sql() -> str:
+    out = """, f AS (SELECT node, ('0x' || substr(sha256(label), 1, 8))::BIGINT % 256 AS idx, sha256(string_agg(label || chr(31) || hash || chr(31), '' ORDER BY label, hash)) AS hash FROM labelled GROUP BY ALL),
+    l0 AS (SELECT n.node, i.idx, coalesce(f.hash, repeat('0', 64)) AS hash FROM (SELECT DISTINCT node FROM labelled) n CROSS JOIN (SELECT unnest(range(256)) AS idx) i LEFT JOIN f ON f.node = n.node AND f.idx = i.idx)"""
+    for k in range(1, 9):
+        out += f", l{k} AS (SELECT node, idx // 2 AS idx, sha256(string_agg(hash || chr(31), '' ORDER BY idx)) AS hash FROM l{k - 1} GROUP BY node, idx // 2)"
+    return out + ", r AS (SELECT node, hash AS root FROM l8), g AS (SELECT root, count(*) AS n, min(node) AS f FROM r GROUP BY root), m AS (SELECT (SELECT root FROM g ORDER BY n DESC, f LIMIT 1) AS majority, (SELECT count(*) FROM g) AS n_roots) SELECT node, root, majority, n_roots, root = majority AS agrees FROM r, m"
+
+
+@query(sql("labelled", _roots_sql()).replace(" , f AS", ", f AS"))
 def consistency_vote(spark, sf):
     return agreement.consistency(agreement.namespace_roots(c.labelled(spark, sf)))
 
@@ -248,9 +242,8 @@ def rarest_first_topk(spark, sf):
     return replicas.rarest_first(_wanted(spark, sf), c.holdings(spark, sf), 20)
 
 
-@query(sql("nodes", "SELECT o.node AS observer, p.node, (o.rack <> p.rack)::INT AS other_rack, row_number() OVER (PARTITION BY o.node ORDER BY o.rack <> p.rack, abs(o.node - p.node) % 17, p.node) AS rank FROM nodes o JOIN nodes p ON o.node <> p.node WHERE o.node <= 12"))
+@query(sql("nodes", "SELECT o.node AS observer, p.node, (o.rack <> p.rack)::INT AS other_rack, row_number() OVER (PARTITION BY o.node ORDER BY o.rack <> p.rack, abs(o.node - p.node) % 17, p.node) AS rank FROM nodes o JOIN nodes p ON o.node <> p.node"))
 def peer_proximity(spark, sf):
-    """Peers of every node; the SQL above holds only those of nodes up to 12."""
     nodes = c.nodes(spark, sf)
     return replicas.proximity(nodes, nodes, F.abs(F.col("observer") - F.col("node")) % 17)
 
@@ -265,28 +258,44 @@ def durability_plain(spark, sf):
     return replicas.durability_plain(c.replicas(spark, sf), c.holdings(spark, sf))
 
 
-@query(sql("replicas holdings", ", f AS (SELECT DISTINCT file AS g, hash FROM replicas), d AS (SELECT g, hash, min(node) AS node FROM f JOIN holdings USING (hash) GROUP BY ALL), e AS (SELECT g, node, count(*) AS n FROM d GROUP BY ALL), w AS (SELECT g, sum(n) OVER (PARTITION BY g) AS total, sum(n) OVER (PARTITION BY g ORDER BY n DESC, node ROWS UNBOUNDED PRECEDING) AS gone FROM e) SELECT g AS \"group\", count(*) FILTER (total - gone >= 2) - 1 AS survives FROM w GROUP BY g").replace(" , f AS", ", f AS"))
+_CODED = """, ch AS (SELECT file, hash FROM replicas), c0 AS (SELECT DISTINCT hash FROM replicas WHERE hash % 3 = 0),
+    copies AS (SELECT hash, count(*) AS n FROM holdings GROUP BY hash),
+    have AS (SELECT c0.hash, h.node, count(*) AS n FROM c0 JOIN holdings h ON h.hash BETWEEN c0.hash + 1 AND c0.hash + 6 GROUP BY ALL),
+    free AS (SELECT c0.hash, l.node, coalesce(have.n, 0) AS n FROM c0 CROSS JOIN (SELECT DISTINCT node FROM holdings) l LEFT JOIN have ON have.hash = c0.hash AND have.node = l.node
+             WHERE NOT EXISTS (SELECT 1 FROM holdings w WHERE w.hash = c0.hash AND w.node = l.node)),
+    remain AS (SELECT c0.hash, count(DISTINCT h.hash) AS r FROM c0 JOIN holdings h ON h.hash BETWEEN c0.hash + 1 AND c0.hash + 6
+             WHERE NOT EXISTS (SELECT 1 FROM holdings w WHERE w.hash = c0.hash AND w.node = h.node) GROUP BY c0.hash),
+    steps AS (SELECT hash, r - sum(n) OVER (PARTITION BY hash ORDER BY n DESC, node) >= 4 AS stands FROM free JOIN remain USING (hash)),
+    fell AS (SELECT hash, count(*) FILTER (stands) AS f FROM steps GROUP BY hash)
+    SELECT file, greatest(-1, min(coalesce(n, 0) + coalesce(CASE WHEN ch.hash % 3 = 0 THEN f END, 0) - 1)) AS survives, count(*) AS n_chunks, bool_or(ch.hash % 3 = 0) AS coded
+    FROM ch LEFT JOIN copies USING (hash) LEFT JOIN fell USING (hash) GROUP BY file"""
+
+
+@query(sql("replicas holdings", _CODED).replace(" , ch AS", ", ch AS"))
 def durability_coded(spark, sf):
-    fragments = c.replicas(spark, sf).select(F.col("file").alias("group"), "hash").distinct()
-    return replicas.durability_coded(fragments, c.holdings(spark, sf), F.lit(2))
+    """Every third chunk is coded: its fragments are the six chunks after it, of which four are needed."""
+    rows = c.replicas(spark, sf).select("file", "seq", "hash", F.when(F.col("hash") % 3 == 0, 4).alias("k"))
+    fragments = rows.where("k IS NOT NULL").select("hash").distinct().select("hash", F.explode(F.transform(F.sequence(F.lit(1), F.lit(6)), lambda i: F.col("hash") + i)).alias("fragment"))
+    return replicas.durability(rows, fragments, c.holdings(spark, sf))
 
 
-_PROTECTED = "protected AS (SELECT node, hash FROM holdings WHERE hash % 11 = 0 UNION SELECT node, hash FROM holdings WHERE (hash + node) % 13 = 0), guarded AS (SELECT * FROM protected WHERE (hash % 5 <> 4))"
+_PROTECTED = "protected AS (SELECT node, hash FROM holdings WHERE hash % 11 = 0 OR (hash + node) % 13 = 0 OR hash % 17 = 2)"
 
 
 def _protected(spark, sf):
     h = c.holdings(spark, sf)
-    return replicas.protected(h.where("hash % 11 = 0"), h.where("(hash + node) % 13 = 0"), h.where("hash % 5 = 4"))
+    return replicas.protected(h.where("hash % 11 = 0"), h.where("(hash + node) % 13 = 0"), h.where("hash % 17 = 2"))
 
 
-@query(sql("holdings", "") + f", {_PROTECTED} SELECT node, hash FROM guarded")
+@query(sql("holdings", "") + f", {_PROTECTED} SELECT node, hash FROM protected")
 def protected_set(spark, sf):
     return _protected(spark, sf)
 
 
-@query(sql("holdings", "") + f", {_PROTECTED}, t AS (SELECT *, sum(size) OVER (PARTITION BY node) AS physical, floor((600 + node % 7 * 100) * 0.85) AS target FROM holdings), x AS (SELECT t.*, coalesce(sum(size) OVER (PARTITION BY node ORDER BY atime, hash ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS freed FROM t WHERE physical > 600 + node % 7 * 100 AND NOT EXISTS (SELECT 1 FROM guarded g WHERE g.node = t.node AND g.hash = t.hash)) SELECT node, hash, size, freed FROM x WHERE physical - freed > target")
+@query(sql("holdings", "") + f", {_PROTECTED}, t AS (SELECT *, sum(size) OVER (PARTITION BY node) AS physical, floor((600 + node % 7 * 100) * 0.85) AS target FROM holdings), x AS (SELECT t.*, coalesce(sum(size) OVER (PARTITION BY node ORDER BY atime, hash ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS freed FROM t WHERE physical > 600 + node % 7 * 100 AND hash % 5 <> 4 AND NOT EXISTS (SELECT 1 FROM protected g WHERE g.node = t.node AND g.hash = t.hash)) SELECT node, hash, size, freed FROM x WHERE physical - freed > target")
 def evict_plan(spark, sf):
-    return replicas.evict(c.holdings(spark, sf), _protected(spark, sf), F.lit(600) + F.col("node") % 7 * 100)
+    h = c.holdings(spark, sf)
+    return replicas.evict(h, _protected(spark, sf), F.lit(600) + F.col("node") % 7 * 100, wanted=h.where("hash % 5 = 4"))
 
 
 @query(sql("replicas holdings", "") + f", {_INTEREST}, s AS (SELECT file, sum(size) AS bytes FROM replicas GROUP BY file), p AS (SELECT node, sum(bytes)::BIGINT AS presented FROM interest JOIN s USING (file) GROUP BY node), q AS (SELECT node, sum(size)::BIGINT AS physical FROM holdings GROUP BY node) SELECT node, coalesce(presented, 0) AS presented, coalesce(physical, 0) AS physical, round(presented / nullif(physical, 0), 2) AS ratio FROM p FULL JOIN q USING (node)")
@@ -401,9 +410,14 @@ def bloom_no_false_negatives(spark, sf):
 
 @query()
 def stream_member_state(spark, sf):
+    """The state that the stream told of each node with its last event (told), and what it is at the stream's end."""
     path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     out = membership.run_once(membership.track(membership.events_stream(spark, sf), 3600.0), path, "update")
-    return out.groupBy("node").agg(F.max_by(F.struct("heartbeat", "last_seen", "state"), "heartbeat").alias("x")).select("node", "x.heartbeat", "x.last_seen")
+    return out.groupBy("node").agg(F.max_by(F.struct("heartbeat", "last_seen", "state"), "heartbeat").alias("x")).select("node", "x.heartbeat", "x.last_seen", F.col("x.state").alias("told"))
+    out = cut(out, "stream-state")
+    now = out.agg(F.max("last_seen").alias("now"))
+    age = (F.unix_timestamp("now") - F.unix_timestamp("last_seen")) / 3600.0
+    return out.join(F.broadcast(now), how="cross").select("node", "heartbeat", "last_seen", "told", telemetry.state_of_age(age).alias("state"))  # now is one row
 
 
 @query()

@@ -24,12 +24,15 @@ def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where that setting is unset (local tests) a temporary folder is made.
+    Only where that setting is unset and all runs in one machine (``local[...]``) a temporary folder is
+    made; elsewhere executors would write to disks of their own, so this raises.
     """
     conf = spark.sparkContext.getConf()
     path = conf.get("spark.checkpoint.dir", None)
     if path:
         return path
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     known = getattr(spark.sparkContext, "_tessera_dir", None)
     if known is None:
         known = spark.sparkContext._tessera_dir = tempfile.mkdtemp(prefix="tessera-")
