@@ -413,7 +413,7 @@ def stream_member_state(spark, sf):
     """The state that the stream told of each node with its last event (told), and what it is at the stream's end."""
     path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     out = membership.run_once(membership.track(membership.events_stream(spark, sf), 3600.0), path, "update")
-    return out.groupBy("node").agg(F.max_by(F.struct("heartbeat", "last_seen", "state"), "heartbeat").alias("x")).select("node", "x.heartbeat", "x.last_seen", F.col("x.state").alias("told"))
+    out = out.groupBy("node").agg(F.max_by(F.struct("heartbeat", "last_seen", "state"), "heartbeat").alias("x")).select("node", "x.heartbeat", "x.last_seen", F.col("x.state").alias("told"))
     out = cut(out, "stream-state")
     now = out.agg(F.max("last_seen").alias("now"))
     age = (F.unix_timestamp("now") - F.unix_timestamp("last_seen")) / 3600.0
