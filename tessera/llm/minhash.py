@@ -1,16 +1,18 @@
 """Operator 10, near-duplicates: an LSH forest, then exact links on full shingle sets.
 
 1. One pass over the texts gives each document's number of shingles, a digest of its
-   shingle set and a signature of ``TREES * STEPS`` minimum hashes. Documents with
+   shingle set and a signature of 96 minimum hashes. Documents with
    one set are one class, named by its smallest id; only classes go on.
-2. Forest: each tree orders the classes by its own run of signature values. Classes with a
-   common prefix lie next to each other; the prefix that makes a region is ``DEPTHS[0]``
-   values long, and longer only where a region holds over ``REGION`` classes (counted
-   before anything is moved). Within a region every class meets every other one
-   by signature; a region that at the last depth still holds over ``2 * REGION`` classes is dealt
-   to blocks, and every pair of blocks gets a task. What leaves a task are the edges of a
-   spanning forest, never all pairs. A pair at similarity 0.75 misses all trees with
-   a chance of (1 - 0.75**2)**16, about 2 in a million.
+2. Forest: each order sorts the classes by the signature's values in a sequence of its own. The candidates of a
+   class are its neighbours there, on both sides for as long as the longest common prefix of adjacent
+   signatures doesn't fall under the region's depth. Depth adapts: ``LEVELS`` starts with
+   prefixes of two values in 16 orders. The classes of a region that holds over ``REGION`` of them (counted
+   before anything is moved) go on to longer prefixes, in as many more orders as that takes, and
+   are not compared in that region; a region that at the last level still holds over ``REGION`` is
+   compared whole, over ``2 * REGION`` dealt to blocks, with a task for every pair of blocks. What leaves a task are the edges of a
+   spanning forest, never all pairs. A pair at similarity 0.75 is missed with a chance of about 2 in a
+   million at each of the first two levels and 4 at the others, so of at most 12 in a million in
+   the most crowded place; the signature's own test (``EQUAL``) misses 0.4 in a million.
 3. The edges' components gather all that may be linked. Each is dealt to one task that holds
    the full shingle sets and counts intersections; a component of over ``SHINGLES`` shingles is
    cut into blocks, and every pair of blocks gets a task, so a task's memory is bounded and
@@ -38,10 +40,11 @@ from tessera.session import cut
 WORDS = 5
 PERCENT = 75
 TREES, STEPS = 16, 6
-DEPTHS = (2, 3, 4, 6)
+#: Values of the prefix that makes a region, and orders, from level to level.
+LEVELS = ((2, 16), (3, 24), (4, 56), (6, 160))
 REGION = 4096
-#: Least number of equal signature values, of 96, for an edge: four standard errors below 0.75.
-EQUAL = 55
+#: Least number of equal signature values, of 96, for an edge: five standard errors below 0.75.
+EQUAL = 50
 SHINGLES = 1_000_000
 
 _HASHES = TREES * STEPS
@@ -84,28 +87,31 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each class and tree: a key for each depth, and the tree's order of all values, a byte each."""
+def _orders(level: int) -> list[np.ndarray]:
+    """The sequence of values in each order of a level: prefixes are disjoint while there are values, then drawn by a fixed seed."""
+    depth, count = LEVELS[level]
+    apart = min(count, _HASHES // depth)
+    random = np.random.default_rng(100 + level)
+    return [np.roll(np.arange(_HASHES), -t * (_HASHES // apart)) if t < apart else random.permutation(_HASHES) for t in range(count)]
+
+
+def _ordered_rows(batches: Iterator[pa.RecordBatch], level: int) -> Iterator[pa.RecordBatch]:
+    """A row for each class and order: the region of its prefix, and all values in that order, a byte each."""
+    depth, orders = LEVELS[level][0], _orders(level)
     for batch in batches:
-        for part in (batch.slice(i, 2048) for i in range(0, batch.num_rows, 2048)):
+        for part in (batch.slice(i, 512) for i in range(0, batch.num_rows, 512)):
             n = part.num_rows
             ids = part.column("id").to_numpy(zero_copy_only=False)
             sig = np.frombuffer(b"".join(part.column("signature").to_pylist()), np.uint32).reshape(n, _HASHES)
-            keys: list[list[np.ndarray]] = [[] for _ in DEPTHS]
-            orders = []
-            for t in range(TREES):
-                key, done = np.full(n, t + 1, U64), 0
-                for d, depth in enumerate(DEPTHS):
-                    while done < depth:
-                        key = mix(key ^ sig[:, t * STEPS + done].astype(U64))
-                        done += 1
-                    keys[d].append(key.view(np.int64))
-                orders.append(np.roll((sig & 0xFF).astype(np.uint8), -t * STEPS, axis=1))
-            tail = np.concatenate(orders)
-            yield pa.record_batch(
-                [np.tile(ids, TREES), *(np.concatenate(k) for k in keys), pa.array([x.tobytes() for x in tail], pa.binary())],
-                names=["id", *(f"k{d}" for d in DEPTHS), "tail"],
-            )
+            low = (sig & 0xFF).astype(np.uint8)
+            keys = []
+            for t, order in enumerate(orders):
+                key = np.full(n, (level << 16) + t + 1, U64)
+                for k in order[:depth]:
+                    key = mix(key ^ sig[:, k].astype(U64))
+                keys.append(key.view(np.int64))
+            tail = np.concatenate([low[:, order] for order in orders])
+            yield pa.record_batch([np.concatenate(keys), np.tile(ids, len(orders)), np.full(n * len(orders), depth, np.int32), pa.array([x.tobytes() for x in tail], pa.binary())], names=["region", "id", "depth", "tail"])
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
@@ -129,7 +135,9 @@ def _region_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         region = part.column("region").to_numpy(zero_copy_only=False)
         ids = part.column("id").to_numpy(zero_copy_only=False)
         tail = np.frombuffer(b"".join(part.column("tail").to_pylist()), np.uint8).reshape(len(ids), _HASHES)
-        begins = np.flatnonzero(np.r_[True, region[1:] != region[:-1]])
+        unlike = tail[1:] != tail[:-1]
+        common = np.where(unlike.any(1), unlike.argmax(1), _HASHES)  # the longest common prefix of neighbours
+        begins = np.flatnonzero(np.r_[True, (region[1:] != region[:-1]) | (common < part.column("depth").to_numpy(zero_copy_only=False)[1:])])
         sizes = np.diff(np.r_[begins, len(ids)])
         two = begins[sizes == 2]
         alike = (tail[two] == tail[two + 1]).sum(1) >= EQUAL
@@ -159,22 +167,26 @@ def _block_pairs(name, id, n_blocks):
 
 
 def _forest_edges(classes: DataFrame) -> DataFrame:
-    keys = ", ".join(f"k{d} bigint" for d in DEPTHS)
-    trees = classes.select("id", "signature").mapInArrow(_trees, f"id bigint, {keys}, tail binary")
-    trees = trees.withColumn("region", F.col(f"k{DEPTHS[0]}"))
-    for shallow, deep in zip(DEPTHS, DEPTHS[1:]):
-        crowded = trees.groupBy("region").count().where(F.col("count") > REGION).select("region", F.lit(True).alias("crowded"))
+    active, found = classes.select("id", "signature"), []
+    for level in range(len(LEVELS)):
+        rows = active.mapInArrow(lambda batches, level=level: _ordered_rows(batches, level), "region bigint, id bigint, depth int, tail binary")
+        crowded = cut(rows.groupBy("region").agg(F.count("*").alias("n")).where(F.col("n") > REGION), "crowded-regions")
         if crowded.isEmpty():
+            found.append(rows)
             break
-        trees = trees.join(crowded, "region", "left").withColumn("region", F.when(F.col("crowded"), F.col(f"k{deep}")).otherwise(F.col("region"))).drop("crowded")
-    else:
-        counts = trees.groupBy("region").count().where(F.col("count") > 2 * REGION)
-        counts = counts.select("region", F.ceil(F.col("count") / REGION).cast("int").alias("n_blocks"))
-        if not counts.isEmpty():
+        if level + 1 < len(LEVELS):
+            found.append(rows.join(crowded, "region", "left_anti"))
+            inside = rows.join(crowded, "region", "left_semi").select("id").distinct()
+            active = cut(active.join(inside, "id", "left_semi").select("id", "signature"), "crowded-classes")
+        else:
+            n_blocks = crowded.where(F.col("n") > 2 * REGION).select("region", F.ceil(F.col("n") / REGION).cast("int").alias("n_blocks"))
             pairs = F.when(F.col("n_blocks").isNull(), F.array("region")).otherwise(_block_pairs("region", "id", F.col("n_blocks")))
-            trees = trees.join(counts, "region", "left").select(F.explode(pairs).alias("region"), "id", "tail")
-    trees = trees.select("region", "id", "tail").repartition("region").sortWithinPartitions("region", "tail", "id")
-    return trees.mapInArrow(_region_edges, "a bigint, b bigint")
+            found.append(rows.join(n_blocks, "region", "left").select(F.explode(pairs).alias("region"), "id", "depth", "tail"))
+    every = found[0]
+    for rows in found[1:]:
+        every = every.unionByName(rows)
+    every = every.select("region", "id", "depth", "tail").repartition("region").sortWithinPartitions("region", "tail", "id")
+    return every.mapInArrow(_region_edges, "a bigint, b bigint")
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

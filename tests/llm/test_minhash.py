@@ -81,3 +81,24 @@ def test_sparse_pairs_in_a_crowded_region(spark):
     finally:
         spark.conf.set(batch, before)
     assert {(min(r), max(r)) for r in map(tuple, edges)} == set(zip(a.tolist(), b.tolist()))
+
+
+@pytest.mark.parametrize("region", [4096, 40, 8])
+def test_recall_of_sparse_links_in_a_hot_group(spark, monkeypatch, region):
+    """300 pairs at a similarity just over 0.75, all of which share two thirds of their shingles with every other text."""
+    import random
+
+    import tessera.llm.minhash as m
+
+    monkeypatch.setattr(m, "REGION", region)
+    rng = random.Random(9)
+    words = lambda n: [f"q{rng.randrange(10**9)}" for _ in range(n)]
+    common, docs = words(84), []
+    for i in range(300):
+        w = common + words(40)
+        docs += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(w[:-16] + words(16)))]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = {r.doc_id: r.component_id for r in near_duplicates(df).collect()}
+    want = {i: c for i, _, c, _ in brute(docs)}
+    assert sum(want[i] != i for i in want) == 300
+    assert got == want  # a miss here has a chance of about 300 * 12 in a million
