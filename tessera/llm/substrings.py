@@ -277,43 +277,47 @@ def later_windows(pieces: list[bytes]) -> list[np.ndarray]:
     return [flags[e - n : e - LENGTH] for e, n in zip(ends.tolist(), lengths.tolist())]
 
 
-#: Bytes of pieces whose suffixes are sorted together, whole names at least.
-_TOGETHER = 1 << 20
+#: Bytes of different pieces whose suffixes are sorted together, whole names at least.
+_TOGETHER = 1 << 19
 
 
 def _resolve(batches):
-    """From pieces sorted by name: for each different piece, at its first place, the windows that occurred before."""
+    """From pieces sorted by name and place: for each different piece, at its first place, the windows that occurred before.
+
+    Equal pieces are dropped as they arrive, so a name that very many texts share takes the memory of
+    its different pieces only.
+    """
 
     def solve(part: pa.RecordBatch) -> pa.RecordBatch:
         doc, at = (part.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "at"))
         order = np.lexsort((at, doc))
         piece = part.column("piece").to_pylist()
-        seen, first = set(), []
-        for k in order.tolist():
-            if piece[k] not in seen:
-                seen.add(piece[k])
-                first.append(k)
-        flags = later_windows([piece[k] for k in first])
+        flags = later_windows([piece[k] for k in order.tolist()])
         masks = [np.packbits(f).tobytes() if f.any() else b"" for f in flags]
-        return pa.record_batch([part.column("split").take(pa.array(first)), pa.array(doc[first]), pa.array(at[first]), pa.array(masks, pa.binary())], names=["split", "doc", "at", "mask"])
+        return pa.record_batch([part.column("split").take(pa.array(order)), pa.array(doc[order]), pa.array(at[order]), pa.array(masks, pa.binary())], names=["split", "doc", "at", "mask"])
 
     held: list[pa.RecordBatch] = []
-    size = 0
+    size, last, seen = 0, None, set()
     for batch in batches:
         for part in (batch.slice(i, 4096) for i in range(0, batch.num_rows, 4096)):
-            held.append(part)
-            size += part.column("piece").nbytes
-            if size < _TOGETHER:
+            name, keep = last, []
+            for k, (n, piece) in enumerate(zip(part.column("name").to_pylist(), part.column("piece").to_pylist())):
+                if n != name:
+                    name, seen = n, set()
+                if piece not in seen:
+                    seen.add(piece)
+                    keep.append(k)
+            if not keep:
                 continue
-            whole = pa.concat_batches(held)
-            names = whole.column("name").to_numpy(zero_copy_only=False)
-            stop = int(np.searchsorted(names, names[-1]))
-            if stop:
-                yield solve(whole.slice(0, stop))
-                held = [whole.slice(stop)]
-                size = sum(len(x) for x in held[0].column("piece").to_pylist())
-            else:
-                held = [whole]
+            part = part.take(pa.array(keep))
+            names = part.column("name").to_numpy(zero_copy_only=False)
+            begin = int(np.searchsorted(names, names[-1]))  # of the last name
+            if size >= _TOGETHER and (begin or last != names[-1]):
+                yield solve(pa.concat_batches([*held, part.slice(0, begin)]))
+                held, size, part = [], 0, part.slice(begin)
+            held.append(part)
+            size += sum(map(len, part.column("piece").to_pylist()))
+            last = name
     if held:
         yield solve(pa.concat_batches(held))
 
@@ -386,7 +390,7 @@ def substring_dedup(docs: DataFrame, as_text: bool = False) -> DataFrame:
     names = dealt.groupBy(_SPLIT).applyInArrow(lambda t: _names(t, frequent), "split int, name bigint, many boolean")
     keys = names.repartition("name").sortWithinPartitions("name").mapInArrow(_repeated, "split int, name bigint")
     pieces = dealt.groupBy(_SPLIT).cogroup(keys.groupBy("split")).applyInArrow(lambda a, b: _pieces(a, b, frequent), "name bigint, doc bigint, at bigint, split int, piece binary")
-    masks = pieces.repartition("name").sortWithinPartitions("name").mapInArrow(_resolve, "split int, doc bigint, at bigint, mask binary")
+    masks = pieces.repartition("name").sortWithinPartitions("name", "doc", "at").mapInArrow(_resolve, "split int, doc bigint, at bigint, mask binary")
     new = f"{_NEW}, {'kept_text string' if as_text else 'kept_bytes binary'}"
     nothing = lambda kind: F.lit(None).cast(kind)
     told = keys.select("split", "name", nothing("bigint").alias("doc"), nothing("bigint").alias("at"), nothing("binary").alias("mask"))
