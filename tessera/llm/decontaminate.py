@@ -11,6 +11,9 @@ Documents are never shuffled. The benchmark is taken in blocks of at most ``BLOC
 text, so an automaton that is broadcast has a bounded size; for more than one block, the rows
 with what is known so far are written to the shared folder between the passes.
 
+In the cleaned text, hit stretches of under ``MIN_SPAN_WORDS`` words stay; they can only come from items
+shorter than a window.
+
 Edge cases: null and empty texts have no words and are clean; null and wordless items
 never match; repeated items are found each; an item with a null id counts for hits, but is not
 listed; an empty benchmark leaves all documents clean; the columns of the documents stay,

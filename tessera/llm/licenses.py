@@ -10,7 +10,7 @@ only for windows of that family's templates; of windows that share words, the on
 2-grams stays.
 
 The examples are made here: templates with words dropped, changed and put around them, against
-shuffled template words and at most about ``SAMPLE`` paragraphs of the corpus, drawn by a hash
+shuffled template words and at most ``2 * SAMPLE`` paragraphs of the corpus, drawn by a hash
 and left out where a template would confirm them. The model is a few thousand numbers.
 
 Edge cases: null and empty texts have no licence; licences are found in any paragraph, however
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import random
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -212,6 +213,8 @@ def train(docs: DataFrame) -> Classifier:
     n = docs.count()
     chosen = F.pmod(F.xxhash64("text", F.lit(3)), F.lit(1 << 30)) < int(min(1.0, SAMPLE / 4 / max(n, 1)) * (1 << 30))
     paragraphs = [p for r in small.where(chosen).collect() for p in r.text.split("\n") if 0 < len(p) <= SAMPLE_BYTES]
+    # those of the least digests, so that the model doesn't follow the order in which rows arrive
+    paragraphs.sort(key=lambda p: blake2b(p.encode(), digest_size=8).digest())
     return Classifier(paragraphs[: 2 * SAMPLE])
 
 
