@@ -8,7 +8,8 @@ finds, by whole arrays, the stretches where a match can be long enough at all; o
 these are walked word by word.
 
 Documents are never shuffled. The benchmark is taken in blocks of at most ``BLOCK_BYTES`` of
-text, so an automaton that is broadcast has a bounded size; for more than one block, the rows
+text, so an automaton that is broadcast has a bounded size (it is built with dictionaries in the
+driver, then kept as arrays, some 60 bytes for each of up to two states a word); for more than one block, the rows
 with what is known so far are written to the shared folder between the passes.
 
 In the cleaned text, hit stretches of under ``MIN_SPAN_WORDS`` words stay; they can only come from items
@@ -23,6 +24,8 @@ except for those whose names are those of the result.
 from __future__ import annotations
 
 import math
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -58,21 +61,44 @@ class Automaton:
             last = 0
             for c in t:
                 last = self._extend(last, c)
+        self._freeze()
         self.least = min((min(len(t), window) for t in texts if t), default=0)
-        pairs = {a * len(self.vocabulary) + b for t in texts for a, b in zip(t, t[1:])}
-        self.pairs = np.array(sorted(pairs), np.int64)
-        #: Items by the state of a window; for items shorter than a window with their length.
-        self.full: dict[int, list[int]] = {}
+        inside = np.ones(max(len(numbers) - 1, 0), bool)
+        inside[at[(at > 0) & (at < len(numbers))] - 1] = False
+        self.pairs = np.unique(numbers[:-1][inside] * len(self.vocabulary) + numbers[1:][inside])
+        #: Items shorter than a window, with their length, by their state.
         self.short: dict[int, list[tuple[int, int]]] = {}
+        held = array("q")
         for k, t in enumerate(texts):
             for state, length, _ in self.walk(t):
-                if len(t) >= window:
-                    if length >= window:
-                        found = self.full.setdefault(self.shortest(state, window), [])
-                        if not found or found[-1] != k:
-                            found.append(k)
+                if len(t) >= window and length >= window:
+                    held.append(self.shortest(state, window) << 32 | k)
             if t and len(t) < window:
                 self.short.setdefault(self.shortest(state, len(t)), []).append((len(t), k))
+        #: Items by the state of a window, those of a state side by side.
+        both = np.unique(np.frombuffer(held, np.int64)) if held else np.zeros(0, np.int64)
+        self.held = array("i", (both & 0xFFFFFFFF).astype(np.int32).tobytes())
+        self.held_at = array("i", np.searchsorted(both >> 32, np.arange(len(self.length) + 1)).astype(np.int32).tobytes())
+
+    def _freeze(self) -> None:
+        """Transitions as arrays, those of a state side by side in the order of words."""
+        self.first, self.word, self.target = array("i", [0]), array("i"), array("i")
+        for k, own in enumerate(self.next):
+            for c in sorted(own):
+                self.word.append(c)
+                self.target.append(own[c])
+            self.first.append(len(self.word))
+            self.next[k] = None
+        del self.next
+        self.link, self.length = array("i", self.link), array("i", self.length)
+
+    def step(self, state: int, c: int) -> int:
+        """The state after one more word, or -1."""
+        first, word = self.first, self.word
+        a, b = first[state], first[state + 1]
+        if b - a > 1:
+            a = bisect_left(word, c, a, b)
+        return self.target[a] if a < b and word[a] == c else -1
 
     def _extend(self, last: int, c: int) -> int:
         nxt, link, length = self.next, self.link, self.length
@@ -112,14 +138,16 @@ class Automaton:
 
     def walk(self, numbers: list[int]) -> Iterator[tuple[int, int, int]]:
         """State and longest match after each word, and the word's place."""
-        nxt, link, length = self.next, self.link, self.length
+        link, length, step = self.link, self.length, self.step
         state = matched = 0
         for at, c in enumerate(numbers):
-            while state and c not in nxt[state]:
+            new = step(state, c)
+            while new < 0 and state:
                 state = link[state]
                 matched = length[state]
-            if c in nxt[state]:
-                state = nxt[state][c]
+                new = step(state, c)
+            if new >= 0:
+                state = new
                 matched += 1
             yield state, matched, at
 
@@ -150,11 +178,12 @@ class Automaton:
         enough = ends - begins >= self.least
         return begins[enough], ends[enough], number
 
-    def hits(self, numbers: list[int]) -> Iterator[tuple[int, int, list[int], int]]:
+    def hits(self, numbers: list[int]) -> Iterator[tuple[int, int, "array[int] | list[int]", int]]:
         """(begin, end, items, longest match) of windows that occur in a run of words."""
         for state, matched, at in self.walk(numbers):
             if matched >= self.window:
-                yield at + 1 - self.window, at + 1, self.full[self.shortest(state, self.window)], matched
+                p = self.shortest(state, self.window)
+                yield at + 1 - self.window, at + 1, self.held[self.held_at[p] : self.held_at[p + 1]], matched
             if self.short:
                 p = state
                 while p > 0:
