@@ -5,9 +5,9 @@ shares of kinds of characters, words and repetitions, of the line itself and of
 neighbours. Forward-backward gives each line's chance to be good; the mean of these,
 weighted by the lines' lengths, is the document's score.
 
-The field is fitted on at most about ``SAMPLE`` documents of either label, of up to ``SAMPLE_BYTES`` each
+The field is fitted on at most about ``SAMPLE`` documents of either label, of up to ``SAMPLE_BYTES`` and ``SAMPLE_LINES`` lines each
 and outside of the held-out fold; a line takes its document's label. Features are
-collected for that sample only. Scores are made for all whole texts, as blocks stream by, and
+collected for that sample only (150 MB if all its documents had the most lines). Scores are made for all whole texts, as blocks stream by, and
 all documents of a block go through the recursion side by side.
 
 Edge cases: a null, empty or blank text has no line, score 0 and is predicted 0; documents
@@ -30,6 +30,7 @@ from tessera.llm.folds import held_out, sampled
 
 SAMPLE = 1500
 SAMPLE_BYTES = 1 << 17
+SAMPLE_LINES = 256
 STEPS, RATE, DECAY = 150, 0.1, 1e-3
 THRESHOLD = 0.3
 
@@ -170,7 +171,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Field:
     """Fit on a bounded sample of labelled documents."""
     chosen = sampled(labels.where("quality IN (0, 1)").groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality")), "quality", SAMPLE)
     few = F.broadcast(chosen)  # about 2 * SAMPLE rows by construction
-    texts = docs.select("doc_id", "text").where(F.octet_length("text") <= SAMPLE_BYTES).join(few, "doc_id").select("quality", "text")
+    lines = F.length("text") - F.length(F.translate("text", "\n", "")) + 1
+    texts = docs.select("doc_id", "text").where((F.octet_length("text") <= SAMPLE_BYTES) & (lines <= SAMPLE_LINES)).join(few, "doc_id").select("quality", "text")
     rows = [r for r in texts.mapInArrow(_examples, "quality int, lines binary").collect() if r.lines]
     field = Field(3 * FEATURES + 2)
     if len({r.quality for r in rows}) == 2:
