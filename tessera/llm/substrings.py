@@ -20,8 +20,9 @@ that are frequent in a bounded sample (``SAMPLE`` documents) name a window only
 other: windows within the passage stay together as a few equal pieces, and the
 others are spread. The sample moves windows between tasks and never changes a result.
 
-Edge cases: null is empty text; texts under ``LENGTH`` bytes stay whole; rows with equal doc_id are
-ordered by text, rows with null doc_id come last; an empty table gives no rows; other
+Edge cases: null is empty text; texts under ``LENGTH`` bytes stay whole; rows with equal doc_id have
+an order of their own (their place by text within a split, then the split), so that a hot or null id spreads over
+splits and only whole copies of a row meet in one; rows with null doc_id come last; an empty table gives no rows; other
 columns pass through, unless they have a result's name.
 """
 
@@ -167,7 +168,12 @@ def _candidates(ids, nth, data, offsets, names_wanted: np.ndarray, frequent):
     return starts, counts, names, row
 
 
-def _pieces(docs: pa.Table, keys: pa.Table, frequent) -> pa.Table:
+def _begins(split: int, nth: np.ndarray, starts: np.ndarray, splits: int, bits: int) -> np.ndarray:
+    """Where pieces begin among all texts of their ids: the row's own number among rows of that id, then the place in its text."""
+    return (nth * splits + split << bits) + starts
+
+
+def _pieces(docs: pa.Table, keys: pa.Table, frequent, splits: int, bits: int) -> pa.Table:
     _, ids, nth, data, offsets = _ordered(docs)
     names = keys.column("name").to_numpy() if keys.num_rows else np.zeros(0, np.int64)
     starts, counts, names, row = _candidates(ids, nth, data, offsets, names, frequent.value)
@@ -178,8 +184,8 @@ def _pieces(docs: pa.Table, keys: pa.Table, frequent) -> pa.Table:
             seen.add(piece)
             keep.append(k)
             pieces.append(piece)
-    at = (nth[row] << 40) + starts - offsets[row]
     split = docs.column(_SPLIT)[0].as_py() if docs.num_rows else 0
+    at = _begins(split, nth[row], starts - offsets[row], splits, bits)
     return pa.table({"name": names[keep], "doc": ids[row][keep], "at": at[keep], "split": np.full(len(keep), split, np.int32), "piece": pa.array(pieces, pa.binary())})
 
 
@@ -326,7 +332,7 @@ _NEW = "n_bytes bigint, n_removed bigint, removed_spans array<struct<start:bigin
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def _remove(docs: pa.Table, told: pa.Table, frequent, as_text: bool) -> pa.Table:
+def _remove(docs: pa.Table, told: pa.Table, frequent, as_text: bool, splits: int, bits: int) -> pa.Table:
     part, ids, nth, data, offsets = _ordered(docs)
     n = part.num_rows
     told = told.combine_chunks()
@@ -339,7 +345,8 @@ def _remove(docs: pa.Table, told: pa.Table, frequent, as_text: bool) -> pa.Table
     flags = np.cumsum(flags[:-1], dtype=np.int32) > 0
     masks = told.filter(pc.is_valid(told.column("mask")))
     if masks.num_rows and len(starts):
-        at = {(d, a): (s, c) for d, a, s, c in zip(ids[row].tolist(), ((nth[row] << 40) + starts - offsets[row]).tolist(), starts.tolist(), counts.tolist())}
+        places = _begins(part.column(_SPLIT)[0].as_py(), nth[row], starts - offsets[row], splits, bits)
+        at = {(d, a): (s, c) for d, a, s, c in zip(ids[row].tolist(), places.tolist(), starts.tolist(), counts.tolist())}
         for d, a, m in zip(masks.column("doc").to_pylist(), masks.column("at").to_pylist(), masks.column("mask").to_pylist()):
             s, c = at[d, a]
             flags[s : s + c] = np.unpackbits(np.frombuffer(m, np.uint8), count=c) if m else False
@@ -383,19 +390,21 @@ def substring_dedup(docs: DataFrame, as_text: bool = False) -> DataFrame:
     With ``as_text``, kept_text without characters that were cut apart takes the place of kept_bytes.
     """
     spark = docs.sparkSession
-    size, rows = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("bigint")), F.lit(0)), F.count("*")).first()
+    octets = F.octet_length("text").cast("bigint")
+    size, rows, longest = docs.agg(F.coalesce(F.sum(octets), F.lit(0)), F.count("*"), F.coalesce(F.max(octets), F.lit(0))).first()
+    bits = longest.bit_length()
     frequent = spark.sparkContext.broadcast(Frequent(_sample(docs, rows)))
     n = max(1, math.ceil(size / SPLIT_BYTES))
-    dealt = docs.withColumn(_SPLIT, F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int"))
+    dealt = docs.withColumn(_SPLIT, F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
     names = dealt.groupBy(_SPLIT).applyInArrow(lambda t: _names(t, frequent), "split int, name bigint, many boolean")
     keys = names.repartition("name").sortWithinPartitions("name").mapInArrow(_repeated, "split int, name bigint")
-    pieces = dealt.groupBy(_SPLIT).cogroup(keys.groupBy("split")).applyInArrow(lambda a, b: _pieces(a, b, frequent), "name bigint, doc bigint, at bigint, split int, piece binary")
+    pieces = dealt.groupBy(_SPLIT).cogroup(keys.groupBy("split")).applyInArrow(lambda a, b: _pieces(a, b, frequent, n, bits), "name bigint, doc bigint, at bigint, split int, piece binary")
     masks = pieces.repartition("name").sortWithinPartitions("name", "doc", "at").mapInArrow(_resolve, "split int, doc bigint, at bigint, mask binary")
     new = f"{_NEW}, {'kept_text string' if as_text else 'kept_bytes binary'}"
     nothing = lambda kind: F.lit(None).cast(kind)
     told = keys.select("split", "name", nothing("bigint").alias("doc"), nothing("bigint").alias("at"), nothing("binary").alias("mask"))
     told = told.unionByName(masks.select("split", nothing("bigint").alias("name"), "doc", "at", "mask"))
-    return dealt.groupBy(_SPLIT).cogroup(told.groupBy("split")).applyInArrow(lambda a, b: _remove(a, b, frequent, as_text), widened(docs.schema, new))
+    return dealt.groupBy(_SPLIT).cogroup(told.groupBy("split")).applyInArrow(lambda a, b: _remove(a, b, frequent, as_text, n, bits), widened(docs.schema, new))
 
 
 def op5_suffix_array(spark, sf_dir: str) -> DataFrame:

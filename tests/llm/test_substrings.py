@@ -48,3 +48,15 @@ def test_repeated_rows_null_ids_and_empty_table(spark):
     df = spark.createDataFrame([(1, t), (1, t), (None, t), (None, None)], "doc_id bigint, text string")
     assert sorted((r.doc_id or 9, r.n_removed) for r in m.substring_dedup(df).collect()) == [(1, 0), (1, 400), (9, 0), (9, 400)]
     assert m.substring_dedup(df.limit(0)).count() == 0
+
+
+def test_a_hot_and_a_null_id_spread_over_splits(spark, monkeypatch):
+    monkeypatch.setattr(m, "SPLIT_BYTES", 2000)
+    rng = random.Random(3)
+    shared = "".join(rng.choices("abcdef ", k=150))
+    rows = [(i, "".join(rng.choices("ghijkl ", k=rng.randint(0, 120))) + shared) for i in [7, None] * 40 + [np.iinfo(np.int64).max] * 5]
+    df = spark.createDataFrame([(None if i is None else int(i), t) for i, t in rows], "doc_id bigint, text string")
+    got = m.substring_dedup(df).collect()
+    whole = [r for r in got if r.n_removed < 150]
+    assert len(got) == len(rows) and [(r.doc_id, r.n_removed) for r in whole] == [(7, 0)]
+    assert all(len(r.kept_bytes) == r.n_bytes - r.n_removed for r in got)
