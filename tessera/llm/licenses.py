@@ -1,11 +1,12 @@
 """Operator 2, licence scans of paragraphs: n-gram logistic regression, then templates.
 
-Paragraphs end at blank lines. In each, every stretch of words that begins and ends with 2-grams of a template,
-has ``CONFIRM`` of that template's 2-grams and at most ``2 * length + SLACK`` words (length: the template's)
+Paragraphs end at blank lines. In each, every stretch of words that begins with a 2-gram of a template and ends
+with another that it has not had before, has ``CONFIRM`` of that template's 2-grams and at most ``2 * length + SLACK`` words (length: the template's)
 is a window, over line breaks and wherever it stands. A window
 is described by how often the word 1- and 2-grams of the licence templates occur in it. A logistic regression over these sparse counts gives a licence family or
 the class unknown; its scores are calibrated by a temperature fitted on examples that
-were not trained on, and a family below ``LEAST_CHANCE`` counts as unknown. A prediction holds
+were not trained on: in each of ``TURNS`` turns other families are left out of training, and their
+examples count as unknown ones. A family below ``LEAST_CHANCE`` counts as unknown. A prediction holds
 only for windows of that family's templates; of windows that share words, the one with most of a template's
 2-grams stays.
 
@@ -34,6 +35,7 @@ from tessera.llm.blocks import ALNUM, U64, VISIBLE, blocks, flat, lower, mix, wi
 SAMPLE = 2000
 SAMPLE_BYTES = 2000
 STEPS, RATE, DECAY = 200, 0.2, 1e-4
+TURNS = 4
 LEAST_CHANCE, CONFIRM, SLACK = 0.5, 0.6, 6
 UNKNOWN = "unknown"
 
@@ -103,11 +105,15 @@ class Classifier:
         label += [0] * (len(texts) - len(label))
         x, y = self._counts(texts), np.array(label)
         fold = np.arange(len(y)) % 5 == 0
-        self.weights, self.temperature = np.zeros((x.shape[1], len(self.families))), 1.0
-        self._fit(x[~fold], y[~fold])
-        scores = x[fold] @ self.weights
-        loss = {t: -np.log(self._softmax(scores / t)[np.arange(fold.sum()), y[fold]] + 1e-12).mean() for t in (0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0)}
-        self.temperature = min(loss, key=loss.get)
+        scores, truth = [], []
+        for k in range(TURNS):
+            away = (y > 0) & (y % TURNS == k)
+            scores.append(x[fold] @ self._fitted(x[~fold & ~away], y[~fold & ~away]))
+            truth.append(np.where(away, 0, y)[fold])
+        score, own = np.concatenate(scores), np.concatenate(truth)
+        self.loss = {t: -np.log(self._softmax(score / t)[np.arange(len(own)), own] + 1e-12).mean() for t in (0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0)}
+        self.temperature = min(self.loss, key=self.loss.get)
+        self.weights = self._fitted(x[~fold], y[~fold])
 
     def confirmed_any(self, text: str) -> bool:
         _, two, _, _, _, _ = _grams(pa.array([text.replace("\n", " ")]))
@@ -164,13 +170,16 @@ class Classifier:
         z = np.exp(z - z.max(1, keepdims=True))
         return z / z.sum(1, keepdims=True)
 
-    def _fit(self, x: np.ndarray, y: np.ndarray) -> None:
+    def _fitted(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Weights of a logistic regression, by Adam."""
         target = np.eye(len(self.families))[y]
-        m, v = np.zeros_like(self.weights), np.zeros_like(self.weights)
+        weights = np.zeros((x.shape[1], len(self.families)))
+        m, v = np.zeros_like(weights), np.zeros_like(weights)
         for k in range(1, STEPS + 1):
-            grad = x.T @ (target - self._softmax(x @ self.weights)) / len(y) - DECAY * self.weights
+            grad = x.T @ (target - self._softmax(x @ weights)) / len(y) - DECAY * weights
             m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
-            self.weights = self.weights + RATE * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-9)
+            weights = weights + RATE * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-9)
+        return weights
 
     def scan(self, texts: pa.Array) -> list[list[dict]]:
         """The confirmed licence paragraphs of each text."""
