@@ -164,15 +164,14 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in blocks(batches):
         x, _, at = line_features(part.column("text"))
         x = x.astype(np.float32)
-        yield pa.record_batch([part.column("quality"), pa.array([x[a:b].tobytes() for a, b in zip(at, at[1:])], pa.binary())], names=["quality", "lines"])
+        yield pa.record_batch([part.column("quality"), pa.array([x[a:b].tobytes() if b - a <= SAMPLE_LINES else b"" for a, b in zip(at, at[1:])], pa.binary())], names=["quality", "lines"])
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Field:
     """Fit on a bounded sample of labelled documents."""
     chosen = sampled(labels.where("quality IN (0, 1)").groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality")), "quality", SAMPLE)
     few = F.broadcast(chosen)  # about 2 * SAMPLE rows by construction
-    lines = F.length("text") - F.length(F.translate("text", "\n", "")) + 1
-    texts = docs.select("doc_id", "text").where((F.octet_length("text") <= SAMPLE_BYTES) & (lines <= SAMPLE_LINES)).join(few, "doc_id").select("quality", "text")
+    texts = docs.select("doc_id", "text").where(F.octet_length("text") <= SAMPLE_BYTES).join(few, "doc_id").select("quality", "text")
     rows = [r for r in texts.mapInArrow(_examples, "quality int, lines binary").collect() if r.lines]
     field = Field(3 * FEATURES + 2)
     if len({r.quality for r in rows}) == 2:
